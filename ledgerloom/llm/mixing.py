@@ -36,7 +36,7 @@ def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int] | Non
         return [0] * len(weights)
 
     def at(p: float) -> list[int]:
-        return [min(c, max(0, math.floor((w / p + 1) / 2 - 1e-9))) for w, c in zip(weights, caps)]
+        return [min(c, max(0, math.floor((w / p + 1) / 2))) for w, c in zip(weights, caps)]
 
     low, high = 0.0, max(weights) * 2
     for _ in range(200):
@@ -47,7 +47,7 @@ def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int] | Non
             low = mid
         else:
             high = mid
-    held = at(high)
+    held = at(high * (1 + 1e-9))  # seats that tie at the price are left to the comparison of quotients
     while sum(held) < seats:
         best = max((i for i in range(len(weights)) if held[i] < caps[i]), key=lambda i: (weights[i] / (2 * held[i] + 1), -i))
         held[best] += 1
