@@ -7,11 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.once import computed_once
 from ledgerloom.functions.text import states_nothing, token_of, unquoted
 
 # How a yes and a no are written, in lower case.
 YES, NO = ("true", "t", "yes", "y", "1", "☒", "☑", "[x]", "x"), ("false", "f", "no", "n", "0", "☐", "[ ]", "[]")
 NUMBER_TYPE = "decimal(38,15)"
+TYPED = ("boolean", "number", "text", "records")
 
 
 @dataclass(frozen=True)
@@ -41,9 +43,8 @@ def _key(path: str) -> str:
     return "".join(ch for ch in path.lower() if ch.isascii() and ch.isalnum())
 
 
-def read_value(kind: str, raw: Column) -> Column:
-    """`raw` as the type of `kind`; null if it states nothing or cannot be read as that."""
-    v = unquoted(raw)
+def read_value(kind: str, v: Column) -> Column:
+    """An unquoted text as the type of `kind`; null if it states nothing or cannot be read as that."""
     low = F.lower(v)
     if kind == "boolean":
         read = F.when(low.isin(*YES), True).when(low.isin(*NO), False)
@@ -53,7 +54,7 @@ def read_value(kind: str, raw: Column) -> Column:
         commas = n.rlike(r"^[+-]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]*)?$")
         read = F.when(plain | commas, F.regexp_replace(F.regexp_replace(n, ",", ""), r"\.(?=e|$)", "")).try_cast(NUMBER_TYPE)
     elif kind == "records":
-        read = F.when(F.get_json_object(raw, "$").rlike(r"^\s*[\[{]"), raw)
+        read = F.when(F.get_json_object(v, "$").rlike(r"^\s*[\[{]"), v)
     else:
         read = token_of(v)
     return F.when(~states_nothing(v), read)
@@ -82,27 +83,31 @@ def widen(rows: DataFrame, catalog: list[Attribute], entity: str = "filing_id")
     no value has a row of nulls; rows with a null entity make a row with a null key. An empty input gives no rows.
     """
     cells = resolve(rows, catalog, entity)
+    kind = F.create_map(*[F.lit(x) for a in catalog for x in (a.path, a.kind)])[F.col("path")] if catalog else F.lit(None).cast("string")
+    cells = computed_once(cells, {"kind": kind, "text": unquoted(F.col("value"))})
+    typed = {k: F.when(F.col("kind") == k, read_value(k, F.col("text"))) for k in TYPED}
+    cells = computed_once(cells, typed | {"stated": ~states_nothing(F.col("text"))})
+    failed = F.col("stated") & F.coalesce(*[F.col(k).cast("string") for k in TYPED]).isNull()
     known = F.col("path").isNotNull()
     # The map has at most one entry per attribute of the catalog, however many rows the entity had.
-    pairs = cells.groupBy(entity).agg(F.map_from_entries(F.collect_list(F.when(known, F.struct("path", "value")))).alias("pairs"), F.count_if(~known).alias("n_unknown"))
-    raw = lambda a: F.col("pairs")[a.path]
-    failures = F.map_from_entries(F.array_compact(F.array(*[F.when(~states_nothing(unquoted(raw(a))) & read_value(a.kind, raw(a)).isNull(), F.struct(F.lit(a.path).alias("key"), raw(a).alias("value"))) for a in catalog])))
-    return pairs.select(entity, *[read_value(a.kind, raw(a)).alias(a.column) for a in catalog], failures.alias("cast_failures"), "n_unknown")
-
-
-def cell_text(a: Attribute) -> Column:
-    """A typed cell as text: `true`, a plain decimal without superfluous zeros, or the text."""
-    c = F.col(a.column)
-    if a.kind == "boolean":
-        return F.when(c, "true").when(~c, "false")
-    if a.kind == "number":
-        digits = F.regexp_replace(F.regexp_replace(F.format_string("%s", c.cast("string")), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-        plain = F.when(c == 0, "0").otherwise(digits)
-        return F.when(c.isNotNull(), plain)
-    return c
+    entry = F.struct("path", F.struct(*TYPED, failed.alias("failed"), "value").alias("cell"))
+    pairs = cells.groupBy(entity).agg(F.map_from_entries(F.collect_list(F.when(known, entry))).alias("pairs"), F.count_if(~known).alias("n_unknown"))
+    failures = F.transform_values(F.map_filter("pairs", lambda _, c: c["failed"]), lambda _, c: c["value"])
+    return pairs.select(entity, *[F.col("pairs")[a.path][a.kind].alias(a.column) for a in catalog], failures.alias("cast_failures"), "n_unknown")
 
 
 def cells_of(wide: DataFrame, catalog: list[Attribute], entity: str = "filing_id", kinds: tuple[str, ...] = ("boolean", "number", "text")) -> DataFrame:
-    """The non-null cells of a wide table, back in rows: entity, field_path, cell."""
-    cells = F.array(*[F.struct(F.lit(a.path).alias("field_path"), cell_text(a).alias("cell")) for a in catalog if a.kind in kinds])
-    return wide.select(entity, F.explode(cells).alias("c")).select(entity, "c.field_path", "c.cell").where("cell is not null")
+    """The non-null cells of a wide table, back in rows: entity, field_path, cell.
+
+    A cell is `true` or `false`, a plain decimal without superfluous zeros, or the text.
+    """
+    null = {"boolean": "boolean", "number": NUMBER_TYPE, "text": "string"}
+    slot = lambda a, k: (F.col(a.column) if a.kind == k else F.lit(None).cast(null[k])).alias(k)
+    cells = F.array(*[F.struct(F.lit(a.path).alias("field_path"), *[slot(a, k) for k in null]) for a in catalog if a.kind in kinds])
+    rows = wide.select(entity, F.explode(cells).alias("c")).select(entity, "c.*")
+    number = F.col("number")
+    digits = F.regexp_replace(F.regexp_replace(number.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    # A decimal of a great scale is written with an exponent when it is near zero; formatting as a fixed number is exact.
+    plain = F.when(number == 0, "0").when(number.cast("string").contains("E"), F.regexp_replace(F.format_string("%.15f", number), r"\.?0+$", "")).otherwise(digits)
+    cell = F.coalesce(F.when(F.col("boolean"), "true").when(~F.col("boolean"), "false"), F.when(number.isNotNull(), plain), F.col("text"))
+    return rows.select(entity, "field_path", cell.alias("cell")).where("cell is not null")
