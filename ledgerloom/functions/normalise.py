@@ -57,13 +57,16 @@ def frequency_rates(rate: Column, frequency: Column) -> Column:
     return F.struct(F.round(F.when(quarterly, rate * 4).otherwise(rate), 4).alias("annual"), F.round(F.when(quarterly, rate).otherwise(rate / 4), 4).alias("quarterly"))
 
 
-def values_match(got: Column, want: Column, tolerance: Column | float = 0.01) -> Column:
-    """Whether two texts state the same (SC-06, SC-44): nothing against nothing or a no, numbers within the tolerance, else the same letters."""
-    a, b = numeric_text(got), numeric_text(want)
-    no = lambda c: states_nothing(c) | F.lower(trimmed(c)).isin("false", "no")
-    same = F.lower(trimmed(got)) == F.lower(trimmed(want))
+def values_match(got: Column, want: Column, tolerance: Column | float = 0.01, numbers: tuple[Column, Column] | None = None) -> Column:
+    """Whether two texts state the same (SC-06, SC-44): nothing against nothing or a no, numbers within the tolerance, else the same letters.
+
+    `numbers` are their `numeric_text`s, if the caller has computed them.
+    """
+    a, b = numbers or (numeric_text(got), numeric_text(want))
+    low = lambda c: F.lower(trimmed(c))
+    no = lambda c: states_nothing(c) | low(c).isin("false", "no")
     limit = F.lit(tolerance) if isinstance(tolerance, float) else tolerance
-    return F.when(states_nothing(got) | states_nothing(want), no(got) & no(want)).when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= limit + 1e-12).otherwise(same)
+    return F.when(states_nothing(got) | states_nothing(want), no(got) & no(want)).when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= limit + 1e-12).otherwise(low(got) == low(want))
 
 
 def lists_match(got: Column, want: Column, mode: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.normalise import values_match
+from ledgerloom.functions.normalise import numeric_text, values_match
+from ledgerloom.functions.once import computed_once
 from ledgerloom.functions.text import states_nothing
 
 # The outcomes of a field.
@@ -15,10 +16,11 @@ OUTCOMES = ("correct", "wrong_value", "missed", "hallucinated")
 def judge(predicted: DataFrame, expected: DataFrame, keys: list[str], tolerance: float = 0.01) -> DataFrame:
     """Each expected field with its prediction (EV-01): keys, expected, extracted, correct, error_type. Fields only predicted are hallucinated if they state something."""
     both = expected.select(*keys, F.col("value").alias("expected")).join(predicted.select(*keys, F.col("value").alias("extracted")), keys, "full")
-    has, want = ~states_nothing(F.col("extracted")), ~states_nothing(F.col("expected"))
-    correct = F.coalesce(values_match(F.col("extracted"), F.col("expected"), tolerance), F.lit(False))
-    error = F.when(correct, "correct").when(has & want, "wrong_value").when(want, "missed").otherwise("hallucinated")
-    return both.withColumns({"correct": correct, "error_type": error, "has_value": has, "has_truth": want})
+    got, want = F.col("extracted"), F.col("expected")
+    both = computed_once(both, {"__a": numeric_text(got), "__b": numeric_text(want), "has_value": ~states_nothing(got), "has_truth": ~states_nothing(want)})
+    both = computed_once(both, {"correct": F.coalesce(values_match(got, want, tolerance, (F.col("__a"), F.col("__b"))), F.lit(False))}).drop("__a", "__b")
+    error = F.when(F.col("correct"), "correct").when(F.col("has_value") & F.col("has_truth"), "wrong_value").when(F.col("has_truth"), "missed").otherwise("hallucinated")
+    return both.withColumn("error_type", error)
 
 
 def scores(n: Column, correct: Column, extracted: Column, extracted_ok: Column, expected: Column, expected_ok: Column) -> dict[str, Column]:

@@ -18,7 +18,7 @@ def number_in_text(number: Column, text: Column) -> Column:
     commas = F.regexp_replace(F.format_number(n, 4), r"\.?0+$", "")
     low = F.lower(text)
     # A number of its own: no digit, and no point or comma that belongs to one, beside it.
-    own = lambda f: low.rlike(F.concat(F.lit(r"(?<![0-9])(?<![0-9][.,])\Q"), f, F.lit(r"\E(?![0-9])(?![.,][0-9])")))
+    own = lambda f: F.rlike(low, F.concat(F.lit(r"(?<![0-9])(?<![0-9][.,])\Q"), f, F.lit(r"\E(?![0-9])(?![.,][0-9])")))
     return F.coalesce(own(plain) | own(two) | own(commas), F.lit(False))
 
 

@@ -69,8 +69,10 @@ def rename_existing(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def coerced(df: DataFrame, columns: list[str], to: str = "double") -> DataFrame:
-    """Texts as numbers, bad ones as null (REL-11)."""
-    return df.withColumns({c: F.trim(F.col(c).cast("string")).try_cast(to) for c in columns if c in df.columns})
+    """Texts as numbers, bad ones as null (REL-11). A cast alone would read Java's suffixes, `90d` as 90."""
+    number = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+    text = lambda c: F.trim(F.col(c).cast("string"))
+    return df.withColumns({c: F.when(text(c).rlike(number), text(c)).try_cast(to) for c in columns if c in df.columns})
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:

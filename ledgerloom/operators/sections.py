@@ -49,13 +49,12 @@ def heading_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     A heading is a short line of its own, in capitals or title case without a full stop, after a line break or at the start.
     What is shorter than `least` characters is dropped.
     """
-    heading = F.regexp_extract_all(text, F.lit(r"(?:(?<=\n)|\A)(?:[A-Z][A-Z &,-]{3,60}|(?:[A-Z][a-z]+)(?: (?:and|of|the|for|[A-Z][a-z]+)){1,6})(?=\n)"), F.lit(0))
     lines = F.split(F.col(text), "\n")
     # Line starts are running sums over the array of lines; a heading is a line that matches.
-    at = docs.where(F.col(text).isNotNull() & (F.size(heading) > 0)).select(key, F.char_length(text).alias("__n"), F.posexplode(lines).alias("__line", "title"))
+    at = docs.where(F.col(text).isNotNull()).select(key, F.char_length(text).alias("__n"), F.posexplode(lines).alias("__line", "title"))
     w = Window.partitionBy(key).orderBy("__line")
     at = at.withColumn("char_start", F.coalesce(F.sum(F.char_length("title") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = at.where(F.col("title").rlike(r"^(?:[A-Z][A-Z &,-]{3,60}|(?:[A-Z][a-z]+)(?: (?:and|of|the|for|[A-Z][a-z]+)){1,6})$"))
+    at = at.where(F.col("title").rlike(r"^(?:[A-Z][A-Z &,-]{3,60}|(?:[A-Z][a-z]+)(?: (?:and|of|the|for|[A-Z][a-z]+)){1,6})\z"))
     at = at.withColumns({"ord": F.row_number().over(w), "__end": F.coalesce(F.lead("char_start").over(w), F.col("__n"))})
     return at.select(key, "ord", "title", F.col("char_start").cast("int").alias("char_start"), (F.col("__end") - F.col("char_start")).cast("int").alias("n_chars")).where(F.col("n_chars") >= least)
 
@@ -112,5 +111,9 @@ def pack_paragraphs(df: DataFrame, key: str, text: str, least: int) -> DataFrame
 
 def entities(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Amounts, percentages and share classes in a text as typed rows (CH-19): keys, kind, value."""
-    found = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, p in ENTITY_PATTERNS.items()])
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    found = F.concat(*[of(k, p) for k, p in ENTITY_PATTERNS.items()])
     return df.select(*keys, F.explode(found).alias("e")).select(*keys, "e.kind", "e.value")

@@ -48,7 +48,82 @@ read as (select filing_id, path, case value_type
   else regexp_replace(l, '[ _-]+', '_', 'g') end as cell from valued)
 select filing_id, path as field_path, cell from read where cell is not null"""
 
+_WORDS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
+_MAP = "map {" + ", ".join(f"'{w}': {n}" for w, n in _WORDS.items()) + "}"
+
+
+def _sum(c: str) -> str:
+    return f"coalesce(list_sum(list_transform(string_split_regex({c}, '[^a-z]+'), lambda w: coalesce({_MAP}[w], 0))), 0)"
+
+
+def _amount(c: str) -> str:
+    words = f"(case when contains({c}, 'hundred') then greatest({_sum(f"split_part({c}, 'hundred', 1)")}, 1) * 100 + {_sum(f"split_part({c}, 'hundred', 2)")} else {_sum(c)} end)"
+    return f"coalesce(try_cast(nullif(regexp_extract({c}, '[(]([0-9.]+)[)]', 1), '') as double), try_cast(replace(nullif(regexp_extract({c}, '([0-9][0-9,]*[.]?[0-9]*)', 1), ''), ',', '') as double), nullif({words}, 0)::double)"
+
+
+# Days of one unit, in twelfths; the unit is the last word or letter.
+_UNIT = "case when {0} ~ '(year|yr|y)s?[.]?$' then 4380 when {0} ~ '(quarter|qtr|q)s?[.]?$' then 1095 when {0} ~ '(month|mth|mo|m)s?[.]?$' then 365 when {0} ~ '(week|wk|w)s?[.]?$' then 84 when {0} ~ '(day|dy|d)s?[.]?$' then 12 end"
+_UNIT = _UNIT.replace("~", "SIMILAR").replace("{0} SIMILAR '", "regexp_matches({0}, '").replace("[.]?$' then", "[.]?$') then")
+_NUMBER = "'[+]?([0-9][0-9,]*([.][0-9]+)?|[.][0-9]+)'"
+_CITED = r"nullif(regexp_extract(cit, '(?:lock-?up(?: period)?(?: of|:)?|held for|during the first|repurchase after) (.*?(?:years?|quarters?|months?|weeks?|days?))\b', 1), '')"
+_PCT = "(?:%| ?per ?cent| ?percent)"
+_P1 = rf"""
+with vals as (
+  select extraction_id, 'lock_up_period_years' as field_name, lock_up_period_years as raw, method, citation, null as basis from repurchase_terms
+  union all select extraction_id, 'lock_up_period_days', lock_up_period_days, method, citation, null from repurchase_terms
+  union all select extraction_id, 'max_leverage_pct', max_leverage_pct, method, citation, leverage_basis from leverage_limits),
+v as (select *, lower(trim(raw)) as v, lower(citation) as cit, replace(lower(basis), '_', ' ') as bas, field_name = 'max_leverage_pct' as lim from vals where raw is not null and lower(trim(raw)) not in {_NULLS}),
+n as (select v.*, lower(unit_note) as note, regexp_full_match(v, {_NUMBER}) as bare, try_cast(replace(v, ',', '') as double) as x from v left join unit_conventions u on u.method = lower(trim(v.method)) and u.field_name = v.field_name),
+dur as (select extraction_id, field_name, bare, x,
+  case when field_name = 'lock_up_period_years' then 4380 else 12 end as own,
+  case when not bare then {_amount("v")} when {_CITED} is not null then {_amount(_CITED)} else x end as amt,
+  case when not bare then {_UNIT.format("v")} when {_CITED} is not null then {_UNIT.format(_CITED)} else
+    case when contains(note, 'quarter') then 1095 when contains(note, 'week') then 84 when contains(note, 'month') then 365 when contains(note, 'year') then 4380 when contains(note, 'day') then 12 end end as twelfths,
+  bare and {_CITED} is not null as cited from n where not lim),
+d as (select extraction_id, field_name, floor(amt * twelfths / 12 + 0.5)::bigint as common_value from dur where amt is not null and twelfths is not null
+  and case when cited then abs(amt * twelfths - x * own) > 1e-6 * x * own else twelfths <> own end),
+kind as (select *, case when contains(bas, 'coverage') then 'cov' when contains(bas, 'equity') or contains(bas, 'net asset') then 'eq' end as base,
+  nullif(regexp_extract(cit, '(?:borrow up to|borrowings will not exceed|leverage is capped at) ([0-9.]+){_PCT} of (?:its )?total assets', 1), '')::double as c_ta,
+  nullif(regexp_extract(cit, 'borrowings may not exceed ([0-9.]+){_PCT} of the fund.s net assets', 1), '')::double as c_eq,
+  nullif(regexp_extract(cit, 'debt-to-equity ratio of no more than ([0-9.]+) to 1', 1), '')::double as c_de,
+  nullif(regexp_extract(cit, 'asset coverage of (?:at least )?([0-9.]+)%', 1), '')::double as c_cov, {_amount("v")} as a from n where lim),
+lev as (select extraction_id, field_name, bare, x, c_ta, case
+  when not bare then case
+    when contains(v, 'debt') then ['de', a::varchar] when contains(v, 'coverage') then ['cov', a::varchar] when regexp_matches(v, 'basis points|bps?$') then ['bps', a::varchar]
+    when contains(v, 'net assets') then ['eq', a::varchar] when regexp_matches(v, '%|percent') then [coalesce(case when contains(v, 'total assets') then 'ta' end, base, 'ta'), a::varchar]
+    when contains(v, 'half') then ['part', '0.5'] when contains(v, 'third') then ['part', (1.0::double / 3)::varchar] when contains(v, 'quarter') then ['part', '0.25'] when contains(v, 'fifth') then ['part', '0.2'] end
+  when c_ta is not null then ['ta', c_ta::varchar] when c_eq is not null then ['eq', c_eq::varchar] when c_de is not null then ['de', c_de::varchar] when c_cov is not null then ['cov', c_cov::varchar]
+  when base is not null then [base, x::varchar]
+  when contains(note, 'coverage') then ['cov', x::varchar] when contains(note, 'hundredths') then ['bps', x::varchar] when contains(note, 'multiple of equity') then ['de', x::varchar] when contains(note, 'decimal share') then ['part', x::varchar]
+  end as q from kind),
+l as (select extraction_id, field_name, case q[1] when 'de' then q[2]::double / (1 + q[2]::double) * 10000 when 'eq' then q[2]::double / (100 + q[2]::double) * 10000 when 'cov' then 1e6 / q[2]::double
+  when 'bps' then q[2]::double when 'part' then q[2]::double * 10000 when 'ta' then q[2]::double * 100 end as y from lev where q is not null and not (q[1] = 'ta' and (not bare or abs(c_ta - x) < 1e-9)))
+select * from d union all select extraction_id, field_name, floor(y + 0.5 + 1e-9)::bigint from l"""
+
+_P3 = """
+with b as (select record_id, case when json_valid(replace(body, chr(65279), '')) then replace(body, chr(65279), '')::json end as j from raw_nested),
+s as (select record_id, case when json_type(j) = 'VARCHAR' and json_valid(replace(j->>'$', chr(65279), '')) then replace(j->>'$', chr(65279), '')::json else j end as j from b),
+a as (select record_id, case when json_type(j) = 'ARRAY' then j->0 else j end as j from s),
+u as (select record_id, case when json_type(j) = 'OBJECT' then case when len(list_intersect(json_keys(j), ['fields', 'per_fund', 'per_field'])) > 0 then j else coalesce(j->'ground_truth', j->'evaluation', j) end end as j from a),
+part as (select record_id, unnest([{'t': 'fields', 'x': j->'fields'}, {'t': 'per_fund', 'x': j->'per_fund'}, {'t': 'per_field', 'x': j->'per_field'}], recursive := true) from u where j is not null),
+e as (select record_id, t, k, json_extract(x, '$."' || k || '"') as v from (select *, unnest(json_keys(x)) as k from part where json_type(x) = 'OBJECT')
+  union all select record_id, t, coalesce(v->>'field_path', v->>'fund_name', ''), v from (select *, unnest(x::json[]) as v from part where json_type(x) = 'ARRAY')),
+top as (select record_id, t as child_table, '' as parent_key, 0::bigint as child_ord, k as child_key from e),
+sc as (select record_id, k, case when json_type(v) = 'OBJECT' and list_contains(json_keys(v), 'expected') then v->'expected' else v end as x from e where t = 'fields' and k = 'share_classes.share_classes'),
+sct as (select record_id, k, case when json_type(x) = 'VARCHAR' and json_valid(x->>'$') then (x->>'$')::json else x end as x from sc),
+scl as (select record_id, k, case json_type(x) when 'ARRAY' then x::json[] when 'OBJECT' then [x] else [] end as l from sct),
+sce as (select record_id, k, unnest(l) as r, generate_subscripts(l, 1) as i from scl where len(l) > 0),
+errs as (select record_id, k, unnest(json_keys(v->'error_breakdown')) as err from e where t = 'per_fund' and json_type(v->'error_breakdown') = 'OBJECT'),
+fl as (select record_id, k, unnest([{'t': 'funds_correct', 'l': v->'funds_correct'}, {'t': 'funds_incorrect', 'l': v->'funds_incorrect'}], recursive := true) from e where t = 'per_field'),
+fle as (select record_id, t, k, unnest(l::json[]) as f, generate_subscripts(l::json[], 1) as i from fl where json_type(l) = 'ARRAY' and json_array_length(l) > 0)
+select * from top
+union all select record_id, 'share_classes', k, i::bigint, coalesce(r->>'class_name', '') from sce where json_type(r) = 'OBJECT'
+union all select record_id, 'error_breakdown', k, 0, err from errs
+union all select record_id, t, k, i::bigint, f->>'$' from fle"""
+
 SQL: dict[str, str] = {
+    "p1_found": _P1,
+    "p3_found": _P3,
     "p4_found": _P4,
     "p4_report": f"select table_name, period, orphan_kind, count(*) as n from ({_P4}) group by all",
     "p5_found": _P5,
