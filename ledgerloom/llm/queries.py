@@ -73,4 +73,8 @@ SQL: dict[str, str] = {
 with sized as (select chunk_id, replace(coalesce(content, ''), chr(13) || chr(10), '{chr(0xE000)}{chr(0xE001)}') as c, coalesce(length(section_title) + 1, 0) as t from chunks)
 select chunk_id, case {" ".join(f"when list_max(list_transform({x}, lambda s: length(s))) <= 2000 - t then '{k}'" for k, x in _STRETCHES.items())} else 'none' end as boundary
 from sized where length(c) + t > 2000""",
+    "p8_found": """
+with w as (select distinct doc_id, hash(substring(text, i::int, 200)) as h from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)),
+shared as (select h from w group by h having count(*) > 1), held as (select w.* from w join shared using (h))
+select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from held a join held b using (h) where a.doc_id < b.doc_id""",
 }
