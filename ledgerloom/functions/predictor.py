@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Predictor(Protocol):
@@ -38,7 +39,7 @@ class RulePredictor:
 def predict(df: DataFrame, question: str, text: str, predictor: Predictor | None = None) -> DataFrame:
     """Adds answer and answer_score. Only the rows given are sent, so filter before it; rows stream in Arrow batches."""
     p = predictor or RulePredictor()
-    schema = df.schema.add("answer", "string").add("answer_score", "double")
+    schema = T.StructType([*df.schema.fields, T.StructField("answer", T.StringType()), T.StructField("answer_score", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -62,8 +62,8 @@ def _amount(c: str) -> str:
 
 
 # Days of one unit, in twelfths; the unit is the last word or letter.
-_UNIT = "case when {0} ~ '(year|yr|y)s?[.]?$' then 4380 when {0} ~ '(quarter|qtr|q)s?[.]?$' then 1095 when {0} ~ '(month|mth|mo|m)s?[.]?$' then 365 when {0} ~ '(week|wk|w)s?[.]?$' then 84 when {0} ~ '(day|dy|d)s?[.]?$' then 12 end"
-_UNIT = _UNIT.replace("~", "SIMILAR").replace("{0} SIMILAR '", "regexp_matches({0}, '").replace("[.]?$' then", "[.]?$') then")
+_SPELLED = {4380: "years?|yrs?|y", 1095: "quarters?|qtrs?|q", 365: "months?|mths?|mos?|m", 84: "weeks?|wks?|w", 12: "days?|dys?|d"}
+_UNIT = "case " + " ".join(f"when regexp_matches({{0}}, '(^|[^a-z])({p})[.]?$') then {n}" for n, p in _SPELLED.items()) + " end"
 _NUMBER = "'[+]?([0-9][0-9,]*([.][0-9]+)?|[.][0-9]+)'"
 _CITED = r"nullif(regexp_extract(cit, '(?:lock-?up(?: period)?(?: of|:)?|held for|during the first|repurchase after) (.*?(?:years?|quarters?|months?|weeks?|days?))\b', 1), '')"
 _PCT = "(?:%| ?per ?cent| ?percent)"
@@ -106,7 +106,7 @@ s as (select record_id, case when json_type(j) = 'VARCHAR' and json_valid(replac
 a as (select record_id, case when json_type(j) = 'ARRAY' then j->0 else j end as j from s),
 u as (select record_id, case when json_type(j) = 'OBJECT' then case when len(list_intersect(json_keys(j), ['fields', 'per_fund', 'per_field'])) > 0 then j else coalesce(j->'ground_truth', j->'evaluation', j) end end as j from a),
 part as (select record_id, unnest([{'t': 'fields', 'x': j->'fields'}, {'t': 'per_fund', 'x': j->'per_fund'}, {'t': 'per_field', 'x': j->'per_field'}], recursive := true) from u where j is not null),
-e as (select record_id, t, k, json_extract(x, '$."' || k || '"') as v from (select *, unnest(json_keys(x)) as k from part where json_type(x) = 'OBJECT')
+e as (select record_id, t, k, json_extract(x, '/' || replace(replace(k, '~', '~0'), '/', '~1')) as v from (select *, unnest(json_keys(x)) as k from part where json_type(x) = 'OBJECT')
   union all select record_id, t, coalesce(v->>'field_path', v->>'fund_name', ''), v from (select *, unnest(x::json[]) as v from part where json_type(x) = 'ARRAY')),
 top as (select record_id, t as child_table, '' as parent_key, 0::bigint as child_ord, k as child_key from e),
 sc as (select record_id, k, case when json_type(v) = 'OBJECT' and list_contains(json_keys(v), 'expected') then v->'expected' else v end as x from e where t = 'fields' and k = 'share_classes.share_classes'),
