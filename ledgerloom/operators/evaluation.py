@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.normalise import numeric_text, values_match
+from ledgerloom.functions.normalise import class_key, numeric_text, values_match
 from ledgerloom.functions.once import computed_once
 from ledgerloom.functions.text import states_nothing
 
@@ -69,3 +69,21 @@ def compare_runs(baseline: DataFrame, variant: DataFrame, key: str) -> DataFrame
     both = b.join(v, key, "full").select(key, F.coalesce("baseline", F.lit(0.0)).alias("baseline"), F.coalesce("variant", F.lit(0.0)).alias("variant"))
     delta = F.round(F.col("variant") - F.col("baseline"), 6)
     return both.withColumns({"delta": delta, "verdict": F.when(delta > 0, "improved").when(delta < 0, "regressed").otherwise("same")})
+
+
+def judge_records(got: DataFrame, want: DataFrame, keys: list[str], name: str, attributes: list[str], tolerance: float = 0.01) -> DataFrame:
+    """Lists of records compared by normalised name, attribute by attribute (EV-02, EV-03, SC-08): keys, name, attribute, expected, extracted, correct.
+
+    Only attributes that the expected record states are judged; a record that is not found has null extracted. Several records of one
+    name count once, the first by its values.
+    """
+
+    def tall(df: DataFrame, value: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias(value)) for a in attributes])
+        rows = df.select(*keys, class_key(F.col(name)).alias("name"), F.explode(cells).alias("c")).select(*keys, "name", "c.attribute", f"c.{value}")
+        return rows.groupBy(*keys, "name", "attribute").agg(F.min(value).alias(value))
+
+    both = tall(want, "expected").where(~states_nothing(F.col("expected"))).join(tall(got, "extracted"), [*keys, "name", "attribute"], "left")
+    both = computed_once(both, {"__a": numeric_text(F.col("extracted")), "__b": numeric_text(F.col("expected"))})
+    match = values_match(F.col("extracted"), F.col("expected"), tolerance, (F.col("__a"), F.col("__b")))
+    return both.withColumn("correct", F.coalesce(match, F.lit(False))).drop("__a", "__b")

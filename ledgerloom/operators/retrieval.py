@@ -138,3 +138,32 @@ def regex_hits(df: DataFrame, pattern: str, text: str = "content", shown: int =
 def structure(df: DataFrame, groups: list[str], position: str) -> DataFrame:
     """Per section: how many chunks and which positions (RT-34)."""
     return df.groupBy(*groups).agg(F.count("*").alias("n_chunks"), F.min(position).alias("first"), F.max(position).alias("last"))
+
+
+def query_score(text: Column, query: str) -> Column:
+    """Terms of a query that a text holds: 5 each if it holds the whole phrase, else 1 (RT-25)."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    weight = F.when(F.contains(low, F.lit(query.lower())), 5).otherwise(1)
+    return sum((F.when(F.contains(low, F.lit(t)), weight).otherwise(0) for t in dict.fromkeys(query.lower().split())), F.lit(0))
+
+
+def unique_queries(*lists: list[str]) -> list[str]:
+    """Queries of several lists in order, without repeats whatever their case (RT-19)."""
+    seen: dict[str, str] = {}
+    for q in (q for qs in lists for q in qs):
+        seen.setdefault(q.strip().lower(), q)
+    return list(seen.values())
+
+
+def diverse_top(df: DataFrame, groups: list[str], source: str, order: list[Column], k: int, per_source: int = 1) -> DataFrame:
+    """The best k per group, those within `per_source` of their source before all others (RT-48): adds rank."""
+    w = Window.partitionBy(*groups)
+    within = F.row_number().over(Window.partitionBy(*groups, source).orderBy(*order))
+    df = df.withColumn("__extra", (within > per_source).cast("int"))
+    return df.withColumn("rank", F.row_number().over(w.orderBy("__extra", *order))).where(F.col("rank") <= k).drop("__extra")
+
+
+def retrieval_verdict(df: DataFrame, groups: list[str], relevant: Column) -> DataFrame:
+    """Per group the ratio of relevant hits and what it says (RT-35): correct from one half, ambiguous above none, else incorrect."""
+    ratio = F.count_if(relevant) / F.count("*")
+    return df.groupBy(*groups).agg(F.count("*").alias("n"), F.round(ratio, 6).alias("ratio")).withColumn("verdict", F.when(F.col("ratio") >= 0.5, "correct").when(F.col("ratio") > 0, "ambiguous").otherwise("incorrect"))

@@ -117,3 +117,38 @@ def entities(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
     found = F.concat(*[of(k, p) for k, p in ENTITY_PATTERNS.items()])
     return df.select(*keys, F.explode(found).alias("e")).select(*keys, "e.kind", "e.value")
+
+
+def pattern_sections(docs: DataFrame, patterns: dict[str, str], key: str = "doc_id", text: str = "text", apart: int = 50, most: int = 50_000, least: int = 100) -> DataFrame:
+    """Sections by the first match of each named pattern (SEG-02): key, section, char_start, char_end.
+
+    A section ends where the nearest other one starts that begins over `apart` characters later, at most `most` on; shorter than
+    `least` are dropped. The starts of a text are one small array, so finding the ends needs no join.
+    """
+    starts = F.array(*[F.struct(F.regexp_instr(text, F.lit(p)).alias("at"), F.lit(n).alias("section")) for n, p in patterns.items()])
+    df = docs.select(key, F.char_length(text).alias("n"), F.filter(starts, lambda s: s["at"] > 0).alias("starts")).where(F.size("starts") > 0)
+    df = df.withColumn("s", F.explode("starts"))
+    later = F.array_min(F.transform(F.filter("starts", lambda o: o["at"] > F.col("s.at") + apart), lambda o: o["at"]))
+    end = F.least(F.coalesce(later - 1, F.col("n")), F.col("s.at") - 1 + most, F.col("n"))
+    return df.select(key, "s.section", (F.col("s.at") - 1).alias("char_start"), end.alias("char_end")).where(F.col("char_end") - F.col("char_start") >= least)
+
+
+def keyword_passages(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", best: int = 5, before: int = 1, after: int = 2) -> DataFrame:
+    """Passages around the paragraphs with most terms (SEG-23): key, first, last (paragraph numbers), score.
+
+    The `best` paragraphs by the number of terms they hold, each with its neighbours, united where they touch.
+    """
+    paras = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.col(text), r"\n\n+")).alias("pos", "para"), F.size(F.split(F.col(text), r"\n\n+")).alias("n"))
+    low = F.lower("para")
+    paras = paras.withColumn("score", sum((F.when(F.contains(low, F.lit(t)), 1).otherwise(0) for t in terms), F.lit(0))).where("score > 0")
+    paras = paras.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "pos"))).where(F.col("rank") <= best)
+    around = F.sequence(F.greatest(F.lit(0), F.col("pos") - before), F.least(F.col("n") - 1, F.col("pos") + after))
+    near = paras.select(key, F.explode(around).alias("p"), "pos", "score").groupBy(key, "p").agg(F.sum(F.when(F.col("p") == F.col("pos"), F.col("score")).otherwise(0)).alias("score"))
+    run = F.col("p") - F.row_number().over(Window.partitionBy(key).orderBy("p"))
+    return near.withColumn("run", run).groupBy(key, "run").agg(F.min("p").alias("first"), F.max("p").alias("last"), F.sum("score").alias("score")).drop("run")
+
+
+def section_fields(df: DataFrame, patterns: dict[str, list[str]], title: str) -> DataFrame:
+    """The fields whose patterns a title matches, as a sorted array (SEG-18): adds target_fields."""
+    hits = F.array_compact(F.array(*[F.when(F.coalesce(F.col(title).rlike("(?i)" + "|".join(ps)), F.lit(False)), f) for f, ps in sorted(patterns.items())]))
+    return df.withColumn("target_fields", hits)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalise as N
 from ledgerloom.functions.text import cik_key, quarter_label, token_of
+from ledgerloom.operators import chunker
 from ledgerloom.operators import decisions as D
 from ledgerloom.operators import evaluation as E
 from ledgerloom.operators import grounding as G
@@ -708,3 +709,84 @@ def st_windows(spark: SparkSession, d: str) -> DataFrame:
 def st_latest(spark: SparkSession, d: str) -> DataFrame:
     """REL-23 on a stream: the last event per user."""
     return events.upsert_stream(events.event_stream(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id").select("user_id", "event_type", "event_id")
+
+
+# ---------------------------------------------------------------- more sections, retrieval, records
+
+PATTERNS = {"fees": r"(?i)fees and expenses", "risks": r"(?i)risk factors", "repurchase": r"(?i)repurchase", "distribution": r"(?i)distribution policy"}
+
+
+@query("""
+with s as (select doc_id, length(text) as n, unnest([""" + ", ".join(f"{{'section': '{k}', 'pos': length(regexp_extract(text, '^(?s)(.*?){p[4:]}', 1, 'i')) + case when regexp_matches(text, '{p[4:]}', 'i') then 1 else null end}}" for k, p in PATTERNS.items()) + """], recursive := true) from documents where text is not null),
+k as (select * from s where pos is not null),
+e as (select a.doc_id, a.section, a.pos - 1 as char_start, least(coalesce((select min(b.pos) - 1 from k b where b.doc_id = a.doc_id and b.pos > a.pos + 50), n), a.pos - 1 + 50000, n) as char_end from k a)
+select doc_id, section, char_start::int as char_start, char_end::int as char_end from e where char_end - char_start >= 100""")
+def seg_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """SEG-02: named sections to the next start of another."""
+    return S.pattern_sections(_docs(spark, d), PATTERNS)
+
+
+_TERMS = ["repurchase", "leverage", "fee", "distribution"]
+
+
+@query(r"""
+with p as (select doc_id, unnest(range(len(l))) as pos, lower(unnest(l)) as para, len(l) as n from (select doc_id, regexp_split_to_array(text, '\n\n+') as l from documents where text is not null)),
+s as (select *, """ + " + ".join(f"contains(para, '{t}')::int" for t in _TERMS) + """ as score from p),
+b as (select * from s where score > 0 qualify row_number() over (partition by doc_id order by score desc, pos) <= 5),
+a as (select doc_id, q, sum(case when q = pos then score else 0 end) as score from (select doc_id, pos, score, unnest(range(greatest(0, pos - 1), least(n - 1, pos + 2) + 1)) as q from b) group by 1, 2),
+i as (select *, q - row_number() over (partition by doc_id order by q) as run from a)
+select doc_id, min(q)::int as first, max(q)::int as last, sum(score)::bigint as score from i group by doc_id, run""")
+def seg_passages(spark: SparkSession, d: str) -> DataFrame:
+    """SEG-23: passages around the paragraphs with most terms."""
+    return S.keyword_passages(_docs(spark, d), _TERMS)
+
+
+@query("select chunk_id, array_to_string(list_filter([case when regexp_matches(section_title, 'fee|expense', 'i') then 'fees' end, case when regexp_matches(section_title, 'leverage|borrow', 'i') then 'leverage' end, case when regexp_matches(section_title, 'repurchase|tender', 'i') then 'repurchase' end], lambda x: x is not null), ',') as fields from chunks")
+def seg_fields(spark: SparkSession, d: str) -> DataFrame:
+    """SEG-18: fields that a title stands for."""
+    df = S.section_fields(_chunks(spark, d), {"fees": ["fee", "expense"], "leverage": ["leverage", "borrow"], "repurchase": ["repurchase", "tender"]}, "section_title")
+    return df.select("chunk_id", F.array_join("target_fields", ",").alias("fields"))
+
+
+@query("""
+select chunk_id, ((contains(t, 'annual')::int + contains(t, 'fee')::int) * case when contains(t, 'annual fee') then 5 else 1 end)::int as score from (select chunk_id, lower(coalesce(content, '')) as t from chunks)""")
+def rt_query_terms(spark: SparkSession, d: str) -> DataFrame:
+    """RT-25: terms of a query, more if the phrase stands whole."""
+    return _chunks(spark, d).select("chunk_id", R.query_score(F.col("content"), "annual fee").cast("int").alias("score"))
+
+
+@query(f"""
+with k as (select chunk_id, filing_id, field, score, row_number() over (partition by field, filing_id order by score desc, chunk_id) > 1 as extra from {_SCORED} where score > 0)
+select field, chunk_id, row_number() over (partition by field order by extra, score desc, chunk_id)::int as rank from k qualify rank <= 20""")
+def rt_diverse(spark: SparkSession, d: str) -> DataFrame:
+    """RT-48: the best twenty per field, one per filing before any second."""
+    return R.diverse_top(_scored(spark, d).where("score > 0"), ["field"], "filing_id", [F.desc("score"), F.col("chunk_id")], 20).select("field", "chunk_id", "rank")
+
+
+@query(f"""
+with r as (select filing_id, field, count(*) as n, round(count(*) filter (where score > 3) / count(*), 6) as ratio from {_SCORED} group by 1, 2)
+select *, case when ratio >= 0.5 then 'correct' when ratio > 0 then 'ambiguous' else 'incorrect' end as verdict from r""")
+def rt_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """RT-35."""
+    return R.retrieval_verdict(_scored(spark, d), ["filing_id", "field"], F.col("score") > 3)
+
+
+@query("""
+with r as (select filing_id, lower(trim(repurchase_frequency)) as name, method, repurchase_percentage_max as a, notice_period_days::double as b from repurchase_terms),
+t as (select filing_id, name, method, unnest([{'attribute': 'repurchase_percentage_max', 'x': a}, {'attribute': 'notice_period_days', 'x': b}], recursive := true) from r),
+w as (select filing_id, name, attribute, min(x::varchar) as expected from t where method = 'manual_review' group by 1, 2, 3),
+g as (select filing_id, name, attribute, min(x::varchar) as extracted from t where method <> 'manual_review' group by 1, 2, 3)
+select w.filing_id, w.name, w.attribute, expected::double as expected, extracted::double as extracted, coalesce(abs(expected::double - extracted::double) <= 0.01 + 1e-12, false) as correct
+from w left join g on w.filing_id = g.filing_id and w.name = g.name and w.attribute = g.attribute where expected is not null""")
+def ev_records(spark: SparkSession, d: str) -> DataFrame:
+    """EV-02, EV-03, SC-08: records matched by name, compared by attribute."""
+    df = table(spark, d, "repurchase_terms", "filing_id", "method", "repurchase_frequency", "repurchase_percentage_max", "notice_period_days").withColumn("notice_period_days", F.col("notice_period_days").cast("double"))
+    manual = F.col("method") == "manual_review"
+    out = E.judge_records(df.where(~manual), df.where(manual), ["filing_id"], "repurchase_frequency", ["repurchase_percentage_max", "notice_period_days"])
+    return out.select("filing_id", "name", "attribute", F.col("expected").cast("double").alias("expected"), F.col("extracted").cast("double").alias("extracted"), "correct")
+
+
+@query(None)
+def ch_sequential(spark: SparkSession, d: str) -> DataFrame:
+    """CH-01..04: chunks with back-overlap and exact offsets; sequential, so held against properties in tests."""
+    return chunker.chunk_texts(_docs(spark, d), "doc_id", "text")
