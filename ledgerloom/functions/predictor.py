@@ -67,3 +67,35 @@ def embed(df: DataFrame, text: str, size: int = 64) -> DataFrame:
         return s.map(lambda t: hashed_embedding(t, size))
 
     return df.withColumn("embedding", run(F.col(text)))
+
+
+def two_phase(df: DataFrame, exists: str, detail: str, text: str, least: float = 0.5, predictor: Predictor | None = None) -> DataFrame:
+    """Details are asked only where the first question found something (LL-10, LL-15): adds found, answer, answer_score. Rows without it keep nulls."""
+    first = predict(df.withColumn("__q", F.lit(exists)), "__q", text, predictor).withColumn("found", F.col("answer_score") >= least).drop("answer", "answer_score")
+    asked = predict(first.where("found").withColumn("__q", F.lit(detail)), "__q", text, predictor)
+    return asked.unionByName(first.where("not found"), allowMissingColumns=True).drop("__q")
+
+
+def parse_blocks(df: DataFrame, keys: list[str], text: str, fields: dict[str, str], required: str) -> DataFrame:
+    """Answers of blocks of `KEY: value` lines divided by `---` lines, as typed records (LL-12..14): keys, ord, fields. Blocks without the required key are left out."""
+    blocks = df.select(*keys, F.posexplode(F.split(F.col(text), r"(?m)^\s*-{3,}\s*$")).alias("ord", "__b"))
+    read = [F.nullif(F.trim(F.regexp_extract("__b", rf"(?im)^\s*{k}\s*:[ \t]*(.*?)[ \t\r]*$", 1)), F.lit("")).try_cast(t).alias(k.lower()) for k, t in fields.items()]
+    return blocks.select(*keys, "ord", *read).where(F.col(required.lower()).isNotNull())
+
+
+def bounded_rounds(open_items: DataFrame, act, key: str, rounds: int) -> DataFrame:
+    """Rounds of an agent over what is still open (LL-22): `act(items, round)` returns items with `value`; those with one are done.
+
+    Each round is one job over all open items and its result is written, so plans stay short and no item waits for another.
+    """
+    from ledgerloom.workspace import materialise
+
+    done = None
+    for n in range(rounds):
+        result = materialise(act(open_items, n).withColumn("round", F.lit(n)), "round")
+        got = result.where("value is not null")
+        done = got if done is None else done.unionByName(got)
+        open_items = open_items.join(got.select(key), key, "left_anti")
+        if open_items.isEmpty():
+            break
+    return done

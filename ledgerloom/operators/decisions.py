@@ -94,3 +94,40 @@ def carried(log: DataFrame, keys: list[str], seq: str, value: str) -> DataFrame:
     """Each entry with the last non-null value before it (XT-42)."""
     w = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     return log.withColumn("previous", F.last(value, ignorenulls=True).over(w))
+
+
+# Confidences from the surest down.
+CONFIDENCES = ("explicit", "inferred", "not_found")
+
+
+def confidence_rank(c: Column) -> Column:
+    """0 for the surest; null and unknown words come last (EN-19: by rank, not by letters)."""
+    return F.coalesce(F.create_map(*[F.lit(x) for i, w in enumerate(CONFIDENCES) for x in (w, i)])[F.lower(F.trim(c))], F.lit(len(CONFIDENCES)))
+
+
+def merge_confident(rows: DataFrame, keys: list[str], attributes: list[str], confidence: str, order: str) -> DataFrame:
+    """One record per key: of each attribute the first stated value by confidence, then order (EN-19, EN-20, EN-35). One aggregation."""
+    rank = F.struct(confidence_rank(F.col(confidence)), F.col(order))
+    return rows.groupBy(*keys).agg(*[F.min_by(F.col(a), F.when(F.col(a).isNotNull(), rank)).alias(a) for a in attributes])
+
+
+def overlay(base: DataFrame, new: DataFrame, keys: list[str], replace: list[str], fill: list[str]) -> DataFrame:
+    """`base` with a second result laid over it (EN-23..33): `replace` where the new one states something, `fill` where the old one doesn't."""
+    n = new.select(*keys, *[F.col(c).alias(f"__{c}") for c in (*replace, *fill)])
+    out = base.join(n, keys, "left")
+    return out.withColumns({c: F.coalesce(f"__{c}", c) for c in replace} | {c: F.coalesce(c, f"__{c}") for c in fill}).drop(*[f"__{c}" for c in (*replace, *fill)])
+
+
+def first_of_tiers(tiers: list[tuple[str, DataFrame]], keys: list[str]) -> DataFrame:
+    """The value of the first tier that states one (EN-21): keys, value, tier. One aggregation over the union, not a chain of anti-joins."""
+    rows = None
+    for i, (name, df) in enumerate(tiers):
+        x = df.select(*keys, "value", F.lit(i).alias("__i"), F.lit(name).alias("tier"))
+        rows = x if rows is None else rows.unionByName(x)
+    best = rows.where(stated(F.col("value")).isNotNull()).groupBy(*keys).agg(F.min(F.struct("__i", "value", "tier")).alias("b"))
+    return best.select(*keys, "b.value", "b.tier")
+
+
+def log_summary(log: DataFrame, layer: str, decision: str) -> DataFrame:
+    """Entries by layer and decision with totals of each and of all (EN-14, EN-37), in one pass."""
+    return log.cube(layer, decision).agg(F.count("*").alias("n"), F.grouping_id().cast("bigint").alias("grouping_level"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalise as N
+from ledgerloom.functions import predictor
 from ledgerloom.functions.text import cik_key, quarter_label, token_of
 from ledgerloom.operators import chunker
 from ledgerloom.operators import decisions as D
@@ -790,3 +791,53 @@ def ev_records(spark: SparkSession, d: str) -> DataFrame:
 def ch_sequential(spark: SparkSession, d: str) -> DataFrame:
     """CH-01..04: chunks with back-overlap and exact offsets; sequential, so held against properties in tests."""
     return chunker.chunk_texts(_docs(spark, d), "doc_id", "text")
+
+
+# ---------------------------------------------------------------- more merging
+
+
+@query("""
+with r as (select filing_id, repurchase_percentage_min as lo, repurchase_percentage_max as hi, extraction_id as i, coalesce(case lower(trim(confidence)) when 'explicit' then 0 when 'inferred' then 1 when 'not_found' then 2 end, 3) as c from repurchase_terms)
+select filing_id, arg_min(lo, {'c': c, 'i': i}) filter (where lo is not null) as repurchase_percentage_min, arg_min(hi, {'c': c, 'i': i}) filter (where hi is not null) as repurchase_percentage_max from r group by 1""")
+def en_merge_confident(spark: SparkSession, d: str) -> DataFrame:
+    """EN-19, EN-20: the surest stated value of each attribute."""
+    cols = ["repurchase_percentage_min", "repurchase_percentage_max"]
+    return D.merge_confident(table(spark, d, "repurchase_terms", "filing_id", "extraction_id", "confidence", *cols), ["filing_id"], cols, "confidence", "extraction_id")
+
+
+def _latest(method: str) -> str:
+    return f"(select * from repurchase_terms where method = '{method}' qualify row_number() over (partition by filing_id order by loaded_at desc, extraction_id) = 1)"
+
+
+@query(f"""
+select a.filing_id, coalesce(b.notice_period_days, a.notice_period_days) as notice_period_days, coalesce(a.early_repurchase_fee_pct, b.early_repurchase_fee_pct) as early_repurchase_fee_pct
+from {_latest("tier3_docvqa")} a left join {_latest("tier4_agentic")} b using (filing_id)""")
+def en_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """EN-23..33: one column replaced where the second method states it, one filled where the first doesn't."""
+    df = table(spark, d, "repurchase_terms", "filing_id", "extraction_id", "method", "loaded_at", "notice_period_days", "early_repurchase_fee_pct")
+    last = lambda m: H.first_by(df.where(F.col("method") == m), ["filing_id"], [F.desc("loaded_at"), F.col("extraction_id")]).select("filing_id", "notice_period_days", "early_repurchase_fee_pct")
+    return D.overlay(last("tier3_docvqa"), last("tier4_agentic"), ["filing_id"], ["notice_period_days"], ["early_repurchase_fee_pct"])
+
+
+_TIERS = ("keyword_rules", "tier3_docvqa", "tier4_agentic", "manual_review")
+
+
+@query("\nunion all\n".join(f"select filing_id, {i} as i, '{m}' as tier, min(repurchase_frequency) as value from repurchase_terms where method = '{m}' and repurchase_frequency is not null and lower(trim(repurchase_frequency)) not in {data_sql._NULLS} group by 1" for i, m in enumerate(_TIERS)).join(["with t as (", ") select filing_id, arg_min(value, i) as value, arg_min(tier, i) as tier from t group by 1"]))
+def en_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """EN-21: the first method that states a frequency."""
+    df = table(spark, d, "repurchase_terms", "filing_id", "method", F.col("repurchase_frequency").alias("value"))
+    return D.first_of_tiers([(m, df.where(F.col("method") == m)) for m in _TIERS], ["filing_id"])
+
+
+@query("select event_type, user_id, count(*) as n, grouping(event_type, user_id)::bigint as grouping_level from events group by cube (event_type, user_id)")
+def lg_summary(spark: SparkSession, d: str) -> DataFrame:
+    """EN-14, EN-37."""
+    return D.log_summary(table(spark, d, "events", "event_type", "user_id"), "event_type", "user_id")
+
+
+@query("select extraction_id, 0 as ord, method as name, repurchase_percentage_max as pct from repurchase_terms where method is not null")
+def ll_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """LL-12..14: answers in blocks read back as records."""
+    answer = F.concat(F.lit("Name:  "), F.coalesce("method", F.lit("")), F.lit(" \nPCT: "), F.coalesce(F.col("repurchase_percentage_max").cast("string"), F.lit("unknown")), F.lit("\n---\nNAME:\nPCT: 1"))
+    df = table(spark, d, "repurchase_terms", "extraction_id", "method", "repurchase_percentage_max").select("extraction_id", answer.alias("answer"))
+    return predictor.parse_blocks(df, ["extraction_id"], "answer", {"NAME": "string", "PCT": "double"}, "NAME")

@@ -92,3 +92,20 @@ def test_predictors(spark):
     assert got[1]["answer"] == "The management fee rate is 1%." and got[2]["answer"] is None
     v = predictor.embed(df, "t").where("n = 1").first()["embedding"]
     assert abs(sum(x * x for x in v) - 1) < 1e-5
+
+
+def test_two_phase_and_blocks(spark):
+    df = spark.createDataFrame([(1, "The lockup period applies. The lockup period is one year."), (2, "Nothing here."), (3, None)], "n int, t string")
+    got = {r["n"]: r for r in predictor.two_phase(df, "lockup period", "lockup period year", "t").collect()}
+    assert got[1]["found"] and got[1]["answer"] == "The lockup period is one year." and not got[2]["found"] and got[2]["answer"] is None and got[3]["answer"] is None
+    text = "NAME: Class I\nLOAD: 1.5\n---\nname: Class S\r\nLOAD: none\n----\nLOAD: 3"
+    rows = predictor.parse_blocks(spark.createDataFrame([(1, text), (2, None)], "n int, t string"), ["n"], "t", {"NAME": "string", "LOAD": "double"}, "NAME").collect()
+    assert [(r["ord"], r["name"], r["load"]) for r in rows] == [(0, "Class I", 1.5), (1, "Class S", None)]
+
+
+def test_bounded_rounds(spark):
+    from pyspark.sql import functions as F
+
+    items = spark.createDataFrame([(i,) for i in range(6)], "n int")
+    done = predictor.bounded_rounds(items, lambda df, k: df.withColumn("value", F.when(F.col("n") <= k, F.col("n").cast("string"))), "n", 4)
+    assert sorted((r["n"], r["round"]) for r in done.collect()) == [(0, 0), (1, 1), (2, 2), (3, 3)]
