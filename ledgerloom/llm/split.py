@@ -70,13 +70,13 @@ def split_chunks(chunks: DataFrame, limit: int = 2000, overlap: int = 200, key:
     carried cut to nine tenths. Repeated keys give rows each; extra columns are ignored. The overlap is `overlap`
     characters, or what room the piece leaves where that is less.
     """
-    size = F.char_length("content") + title_size(F.col("section_title"))
+    size = F.coalesce(F.char_length("content"), F.lit(0)) + title_size(F.col("section_title"))
     title = F.when(title_size(F.col("section_title")) > limit - limit // 10, F.substring("section_title", 1, limit - limit // 10 - 1)).otherwise(F.col("section_title"))
     df = chunks.select(key, "section_title", "content", size.alias("size"), title.alias("head"))
     room = (F.lit(limit) - title_size(F.col("head"))).cast("int")
     over = F.col("size") > limit
-    needed = boundary_needed(F.col("content"), F.lit(limit) - title_size(F.col("section_title")))
-    taken = F.regexp_extract_all("content", cutting_pattern(room, overlap), F.lit(0))
+    needed = boundary_needed(F.coalesce("content", F.lit("")), F.lit(limit) - title_size(F.col("section_title")))
+    taken = F.regexp_extract_all(F.coalesce("content", F.lit("")), cutting_pattern(room, overlap), F.lit(0))
     df = computed_once(df, {"room": room, "boundary": F.when(over, needed), "taken": F.when(over, taken)})
     # A match begins with the white space after its predecessor; its end is the sum of the lengths so far.
     df = computed_once(df, {"lens": F.transform("taken", F.char_length), "lead": F.transform("taken", lambda x: F.char_length(x) - F.char_length(F.regexp_replace(x, rf"^{WS}+", "")))})

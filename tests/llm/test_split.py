@@ -81,6 +81,8 @@ def test_cuts_at_the_coarsest_boundary_with_overlap(spark):
 def test_nulls_repeats_and_empty(spark):
     got, df = rows(spark, [("T", None), (None, None), ("T", "")])
     assert [got[i][0]["piece"] for i in range(3)] == ["T\n", "", "T\n"]
+    long, _ = rows(spark, [("T" * 3000, None), ("T" * 3000, "a b")])
+    assert all(len(p["piece"]) <= 2000 and p["boundary"] == "none" for i in (0, 1) for p in long[i])
     twice = df.unionAll(df)
     assert split.split_chunks(twice).count() == 6 and split.split_chunks(df.limit(0)).count() == 0
 
