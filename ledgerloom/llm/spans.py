@@ -24,6 +24,8 @@ from ledgerloom.workspace import materialise
 
 #: Characters that a common stretch has at least.
 LEAST = 200
+#: The largest block: its phases are kept as bits of two numbers.
+LARGEST_BLOCK = 100
 #: Characters that a worker hashes at once.
 AT_ONCE = 1_000_000
 
@@ -123,7 +125,7 @@ BLOCK, WINDOW, REGION = 0, 1, 2
 
 def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Of each text: the reference blocks and the probing windows around its shared hashes, and the text around them."""
-    half = size // 2
+    half = -(-size // 2)
     for b in batches:
         out: list[list] = [[], [], [], [], []]
         for doc, text, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -151,10 +153,17 @@ def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["kind", "hash", "doc_id", "pos", "text"])
 
 
+def block_size(least: int) -> int:
+    """The size of blocks and windows: half of a stretch, so that each stretch holds an aligned block, or less."""
+    if least < 8:
+        raise ValueError("a common stretch has 8 characters at least")
+    return min(least // 2, LARGEST_BLOCK)
+
+
 def anchor_parts(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """Blocks, windows and regions of all texts that may have a common stretch of `least` characters, written once."""
-    size = least // 2
-    half = size // 2
+    size = block_size(least)
+    half = -(-size // 2)
     texts = documents.where(F.char_length("text") >= least).select(F.col("doc_id").cast("bigint"), "text")
     picked = texts.mapInArrow(lambda it: _select(it, size), "fp bigint, doc_id bigint, pos int")
     phase = F.pmod("pos", F.lit(size))
@@ -207,7 +216,7 @@ def shared_spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
     was delivered under two ids is shared as a whole; a row with the same id again is the same document. Repeats within one text
     are no case. One row per pair and repeat, as many as there are: pairs are never capped.
     """
-    size = least // 2
+    size = block_size(least)
     parts = anchor_parts(documents, least)
     block = parts.where(F.col("kind") == BLOCK).select("hash", F.col("doc_id").alias("r"), F.col("pos").alias("rp"))
     window = parts.where(F.col("kind") == WINDOW).select("hash", F.col("doc_id").alias("q"), F.col("pos").alias("qp"))

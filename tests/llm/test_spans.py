@@ -52,6 +52,15 @@ def test_pairs_and_amounts(spark):
         assert set(got) == {i for i, _ in docs} and got[60]["n_chars"] is None and got[61]["shared_ratio"] == 0.0
 
 
+def test_other_lengths(spark):
+    docs = corpus(4, 40)
+    for least in (30, 61, 260, 401):
+        pairs, amounts = brute(docs, least)
+        df = frame(spark, docs)
+        assert {tuple(r) for r in spans.sharing_pairs(df, least).collect()} == pairs
+        assert {r["doc_id"]: r["shared_chars"] for r in spans.shared_amounts(df, least).collect() if r["shared_chars"]} == amounts
+
+
 def test_repeats_are_maximal(spark):
     docs = dict(corpus(3, 30))
     rows = spans.shared_spans(frame(spark, docs.items())).collect()
