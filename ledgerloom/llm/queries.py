@@ -77,4 +77,11 @@ from sized where length(c) + t > 2000""",
 with w as (select distinct doc_id, hash(substring(text, i::int, 200)) as h from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)),
 shared as (select h from w group by h having count(*) > 1), held as (select w.* from w join shared using (h))
 select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from held a join held b using (h) where a.doc_id < b.doc_id""",
+    "p8_shared": """
+with w as (select doc_id, i::int as i, hash(substring(text, i::int, 200)) as h from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)),
+shared as (select h from w group by h having min(doc_id) < max(doc_id)),
+gap as (select doc_id, coalesce(lead(i) over (partition by doc_id order by i) - i, 1000) as g from w join shared using (h)),
+amount as (select doc_id, sum(least(g, 200)) as c, count(*) filter (where g > 200) as n from gap group by 1)
+select doc_id, length(text)::int as n_chars, coalesce(c, 0)::int as shared_chars, case when length(text) > 0 then coalesce(c, 0) / length(text) else 0 end::double as shared_ratio, coalesce(n, 0)::int as n_spans
+from documents left join amount using (doc_id)""",
 }
