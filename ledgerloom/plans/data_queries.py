@@ -34,7 +34,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_funds(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of fund results."""
     flat = nested.flatten_records(table(spark, d, "raw_nested", "record_id", "body"))
-    return nested.child_table(flat, "per_fund", accuracy="double", precision="double", recall="double", f1_score="double", total_fields="int", correct_fields="int")
+    funds = nested.child_table(flat, "per_fund", accuracy="double", precision="double", recall="double", f1_score="double", total_fields="int", correct_fields="int")
+    return funds.withColumnRenamed("child_key", "fund_name").drop("parent_key", "child_ord", "pre", "post", "parent_pre")
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:

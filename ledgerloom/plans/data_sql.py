@@ -121,7 +121,11 @@ union all select record_id, 'share_classes', k, i::bigint, coalesce(r->>'class_n
 union all select record_id, 'error_breakdown', k, 0, err from errs
 union all select record_id, t, k, i::bigint, f->>'$' from fle"""
 
+_FUNDS = _P3[: _P3.index("top as (")].rstrip().rstrip(",") + """
+select record_id, k as fund_name, """ + ", ".join(f"try_cast(v->>'{c}' as {t}) as {c}" for c, t in (("accuracy", "double"), ("precision", "double"), ("recall", "double"), ("f1_score", "double"), ("total_fields", "int"), ("correct_fields", "int"))) + " from e where t = 'per_fund'"
+
 SQL: dict[str, str] = {
+    "p3_funds": _FUNDS,
     "p1_found": _P1,
     "p3_found": _P3,
     "p4_found": _P4,
