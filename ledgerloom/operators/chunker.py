@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -66,6 +67,68 @@ def chunk_texts(df: DataFrame, key: str, text: str, max_tokens: int = 500, overl
     return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, {CHUNKS}")
 
 
+class _Units(HTMLParser):
+    """A document as a run of units in order: plain text, and tables and lists, each whole."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.units: list[tuple[str, list[str]]] = [("text", [])]
+        self.inside: list[str] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("script", "style"):
+            self.hidden += 1
+        elif tag in ("table", "ul", "ol"):
+            if not self.inside:
+                self.units.append(("table" if tag == "table" else "list", []))
+            self.inside.append(tag)
+        elif tag in ("p", "div", "tr", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6"):
+            self.units[-1][1].append("\n" if self.inside or tag == "br" else "\n\n")
+        elif tag in ("td", "th"):
+            self.units[-1][1].append(" ")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("script", "style"):
+            self.hidden = max(0, self.hidden - 1)
+        elif tag in self.inside:
+            while self.inside.pop() != tag:
+                pass
+            if not self.inside:
+                self.units.append(("text", []))
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            self.units[-1][1].append(data)
+
+
+def html_units(html: str | None) -> list[tuple[str, str]]:
+    """Units of a document in order (CH-06): kind and text, white space tidied, empty ones left out."""
+    p = _Units()
+    p.feed(html or "")
+    p.close()
+    tidy = lambda parts: re.sub(r"[ \t\r]*\n[ \t\r]*", "\n", re.sub(r"[ \t\r]+", " ", "".join(parts))).strip()
+    return [(k, t) for k, parts in p.units if (t := re.sub(r"\n{3,}", "\n\n", tidy(parts)))]
+
+
+def chunk_html(df: DataFrame, key: str, html: str, max_tokens: int = 500, overlap_tokens: int = 50) -> DataFrame:
+    """Chunks of HTML (CH-05, CH-07): key, chunk_index, kind, content. Tables and lists that fit stay whole, others and text are cut as texts are."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def chunks(text: str | None) -> Iterator[tuple[str, str]]:
+        for unit, t in html_units(text):
+            if unit != "text" and len(t) <= 4 * max_tokens:
+                yield unit, t
+            else:
+                yield from ((unit, t[s:e]) for s, e in chunk_spans(t, max_tokens, overlap_tokens))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(k, i, u, t) for k, h in zip(b[key], b[html]) for i, (u, t) in enumerate(chunks(h))], columns=[key, "chunk_index", "kind", "content"])
+
+    return df.select(key, html).mapInPandas(run, f"`{key}` {kind}, chunk_index int, kind string, content string")
+
+
 def summary_tree(chunks: DataFrame, key: str, text: str, per_cluster: int = 8, levels: int = 3) -> DataFrame:
     """A tree of cluster summaries over chunks (CH-20..22): level, node_id, parent_id, text.
 

@@ -72,3 +72,25 @@ def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
 def write_errors(results: DataFrame, path: str) -> None:
     """The rows that are not correct, as CSV with a header (SNK-05)."""
     results.where("not correct").write.mode("overwrite").csv(path, header=True)
+
+
+# The types of a main document in a filing's index page.
+MAIN_TYPES = ("N-2", "N-2/A", "N-2 POS", "N-2 MEF")
+
+
+def main_document(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """The link to the main document in each index page (SRC-11): key, href; null if there is none.
+
+    The first table row whose fourth cell is one of MAIN_TYPES, else the first link to a page that is no index, exhibit or
+    graphic. A viewer's wrapper around a path is taken off. Done by array functions over the page's rows.
+    """
+    text = lambda c: F.upper(F.trim(F.regexp_replace(c, r"(?s)<[^>]*>", "")))
+    link = lambda c: F.regexp_extract(c, r"(?i)<a\b[^>]*?href\s*=\s*[\"']([^\"']+)", 1)
+    bare = lambda c: F.regexp_replace(c, r"^.*/ix\?doc=", "")
+    page = lambda c: F.lower(c).rlike(r"\.html?$")
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b.*?</tr>"), F.lit(0))
+    cells = lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1))
+    typed = F.filter(rows, lambda r: F.coalesce(text(F.get(cells(r), F.lit(3))).isin(*MAIN_TYPES), F.lit(False)) & page(link(r)))
+    links = F.regexp_extract_all(html, F.lit(r"(?i)<a\b[^>]*?href\s*=\s*[\"']([^\"']+)"), F.lit(1))
+    others = F.filter(links, lambda h: page(h) & ~F.lower(h).rlike("index|ex-|exhibit|graphic"))
+    return pages.select(key, bare(F.coalesce(link(F.get(typed, F.lit(0))), F.get(others, F.lit(0)))).alias("href"))

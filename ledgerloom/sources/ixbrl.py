@@ -158,15 +158,22 @@ def class_value(fees: DataFrame, classes: DataFrame) -> DataFrame:
     return grid.join(own, ["filing_id", "share_class", "field"], "left").join(fund, ["filing_id", "field"], "left").select("filing_id", "share_class", "field", F.coalesce("value", "fund_value").alias("value")).where("value is not null")
 
 
-# The fund type flags of a cover page.
-FLAGS = {"BusinessDevelopmentCompany": "bdc", "IntervalFund": "interval", "RegisteredClosedEndFund": "registered"}
+# The flags of a cover page, by element name.
+FLAGS = {
+    "RegisteredClosedEndFundFlag": "registered",
+    "BusinessDevelopmentCompanyFlag": "bdc",
+    "IntervalFundFlag": "interval",
+    "PrimaryShelfFlag": "primary_shelf",
+    "PrimaryShelfQualifiedFlag": "primary_shelf_qualified",
+    "NewCefOrBdcRegistrantFlag": "new_registrant",
+}
 
 
 def fund_type_flags(stream: DataFrame) -> DataFrame:
-    """Cover page flags (XB-16): the first element of each name decides; checked by mark, by word or by format."""
-    name = F.regexp_extract("name", rf"({'|'.join(FLAGS)})", 1)
-    rows = stream.where("kind in ('block', 'footnote')").withColumn("flag", F.create_map(*[F.lit(x) for kv in FLAGS.items() for x in kv])[name]).where("flag is not null")
-    checked = F.col("text").rlike(r"☒|☑|(?i)\[x\]|^true$") | F.coalesce(F.contains("format", F.lit("fixed-true")), F.lit(False))
+    """Cover page flags (XB-16), one column each: the first element of each name decides; checked by a mark or by its format. Absent flags are false."""
+    name = F.regexp_extract(F.lower("name"), r"(?:^|:)([a-z]+)$", 1)
+    rows = stream.where("kind = 'block'").withColumn("flag", F.create_map(*[F.lit(x) for k, v in FLAGS.items() for x in (k.lower(), v)])[name]).where("flag is not null")
+    checked = F.col("text").rlike(r"☒|☑|\[[Xx]\]") | F.coalesce(F.contains(F.lower("format"), F.lit("fixed-true")), F.lit(False))
     firsts = rows.groupBy("filing_id", "flag").agg(F.min_by(checked, "pos").alias("on"))
     return firsts.groupBy("filing_id").agg(*[F.coalesce(F.max(F.when(F.col("flag") == f, F.col("on"))), F.lit(False)).alias(f) for f in FLAGS.values()])
 

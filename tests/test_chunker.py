@@ -43,3 +43,12 @@ def test_summary_tree(spark):
     assert sum(r["level"] == 0 for r in tree) == 40 and len(ids) == len(tree)
     assert all(r["parent_id"] in ids for r in tree if r["parent_id"] is not None)
     assert all(r["parent_id"] is not None for r in tree if r["level"] == 0)
+
+
+def test_html_keeps_tables_and_lists(spark):
+    html = "<h1>Fees</h1><p>Some text.</p><table><tr><td>Class I</td><td>1%</td></tr><tr><td><ul><li>x</li></ul></td></tr></table><script>no</script>more<ul><li>a<li>b</ul>" + "<table>" + "<tr><td>row of cells</td></tr>" * 50 + "</table>"
+    df = spark.createDataFrame([(1, html), (2, None), (3, "<table><tr><td>open")], "doc_id bigint, html string")
+    rows = [r for r in chunker.chunk_html(df, "doc_id", "html", 50, 5).collect()]
+    first = [(r["kind"], r["content"]) for r in rows if r["doc_id"] == 1]
+    assert first[0] == ("text", "Fees\n\nSome text.") and first[1][0] == "table" and "Class I 1%" in first[1][1] and first[2] == ("text", "more") and first[3] == ("list", "a\nb")
+    assert all(len(r["content"]) <= 200 for r in rows) and {r["doc_id"] for r in rows} == {1, 3}

@@ -67,7 +67,7 @@ HTML = """<html><head><script>var x = '<ix:nonFraction>';</script></head><body><
 <ix:nonFraction name="f:OtherFees" contextRef="c2" id="">1,<b>234</b></ix:nonFraction><ix:nonFraction name="f:OtherFees" contextRef="c2" id="">-</ix:nonFraction>
 <ix:nonFraction name="f:Days" contextRef="c2" format="ixt:numwordsen" id="d">twenty-one</ix:nonFraction><ix:nonFraction name="f:Bad" contextRef="c2" id="e">about 5</ix:nonFraction>
 <ix:nonNumeric name="f:RiskTextBlock" id="t1" continuedAt="k">First<br/>part</ix:nonNumeric><ix:continuation id="k">and more</ix:continuation>
-<ix:nonNumeric name="dei:EntityIntervalFundFlag" id="f1">☒</ix:nonNumeric><p>open"""
+<ix:nonNumeric name="cef:IntervalFundFlag" id="f1">☒</ix:nonNumeric><p>open"""
 
 
 def test_tagged_documents(spark):
@@ -109,3 +109,15 @@ def test_bounded_rounds(spark):
     items = spark.createDataFrame([(i,) for i in range(6)], "n int")
     done = predictor.bounded_rounds(items, lambda df, k: df.withColumn("value", F.when(F.col("n") <= k, F.col("n").cast("string"))), "n", 4)
     assert sorted((r["n"], r["round"]) for r in done.collect()) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
+def test_main_document(spark):
+    row = "<tr><td>1</td><td>x</td><td><a href='{}'>doc</a></td><td>{}</td></tr>"
+    pages = [
+        (1, "<table>" + row.format("/a/ex-99.htm", "EX-99") + row.format("/ix?doc=/a/main.htm", "N-2/A") + "</table>"),
+        (2, "<a href='/x-index.htm'>i</a><a href='/exhibit.htm'>e</a><a href='b.pdf'>p</a><a class='y' href=\"/b/doc.html\">d</a>"),
+        (3, None),
+        (4, "nothing"),
+    ]
+    got = {r["n"]: r["href"] for r in documents.main_document(spark.createDataFrame(pages, "n int, html string"), "n").collect()}
+    assert got == {1: "/a/main.htm", 2: "/b/doc.html", 3: None, 4: None}
