@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +32,26 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the session's Python workers, once per application.
+
+    Functions that run in workers are found there by name, so a cluster whose machines lack the package needs a copy. The
+    archive lies in the shared folder where that is a path, else with the driver; Spark serves it to the executors.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    shared = shared_folder(spark)
+    home = Path(shared.removeprefix("file://")) if "://" not in shared or shared.startswith("file://") else Path(tempfile.mkdtemp(prefix="ledgerloom-"))
+    home.mkdir(parents=True, exist_ok=True)
+    archive, package = home / f"ledgerloom-{uuid.uuid4().hex}.zip", Path(__file__).resolve().parent
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
