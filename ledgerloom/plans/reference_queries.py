@@ -24,6 +24,7 @@ from ledgerloom.sources import ixbrl
 from ledgerloom.sources import quarters as Q
 from ledgerloom.sources.tables import table
 from ledgerloom.streaming import events
+from ledgerloom.workspace import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -689,7 +690,8 @@ select row_id::varchar as filing_id, 'TotalAssets' as tag, cast(abs(total_assets
 union all select row_id::varchar, 'NetAssets', cast(net_assets as double), 'Class I', report_date::varchar from fund_periods where net_assets is not null""")
 def xb_facts(spark: SparkSession, d: str) -> DataFrame:
     """XB-01..09: tagged numbers read back with scale, sign, context and one per id."""
-    facts = ixbrl.numeric_facts(ixbrl.events(_tagged(spark, d)))
+    stream = materialise(ixbrl.events(_tagged(spark, d)), "events")  # parsed once, read for contexts and for numbers
+    facts = ixbrl.numeric_facts(stream)
     return facts.select("filing_id", F.regexp_replace("name", "^f:", "").alias("tag"), F.col("value").cast("double").alias("value"), "share_class", F.nullif("instant", F.lit("none")).alias("instant"))
 
 

@@ -93,8 +93,13 @@ def events(filings: DataFrame, key: str = "filing_id", html: str = "html") -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows: list[tuple] = []
             for filing, text in zip(b["filing_id"], b["html"]):
-                yield pd.DataFrame([{"filing_id": filing, **r} for r in parse_events(text)], columns=columns)
+                rows += [(filing, *r.values()) for r in parse_events(text)]
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return filings.select(F.col(key).cast("string").alias("filing_id"), F.col(html).alias("html")).mapInPandas(run, EVENTS)
 
