@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.predictor import embed
-from ledgerloom.operators.retrieval import nearest_centroid
 from ledgerloom.workspace import materialise
 
 #: Where a chunk may end, strongest first.
 ENDS = tuple(re.compile(p) for p in (r"\n[ \t]*\n\s*", r"\n\s*", r"(?<=[.!?])\s+", r"\s+"))
+#: Characters that a cluster's summary is made of, and the nodes or seeds of a document that are compared at once.
+SUMMARY_CHARS, BLOCK = 4000, 1024
 CHUNKS = "chunk_index int, char_start int, char_end int, token_count int, content string"
 
 
@@ -129,28 +131,67 @@ def chunk_html(df: DataFrame, key: str, html: str, max_tokens: int = 500, overla
     return df.select(key, html).mapInPandas(run, f"`{key}` {kind}, chunk_index int, kind string, content string")
 
 
-def summary_tree(chunks: DataFrame, key: str, text: str, per_cluster: int = 8, levels: int = 3) -> DataFrame:
-    """A tree of cluster summaries over chunks (CH-20..22): level, node_id, parent_id, text.
+def starts(texts: Column) -> Column:
+    """The default summary of a cluster: the starts of its texts, together at most SUMMARY_CHARS characters."""
+    share = F.greatest(F.lit(1), F.floor((F.lit(SUMMARY_CHARS) - 3 * (F.size(texts) - 1)) / F.size(texts))).cast("int")
+    return F.array_join(F.transform(texts, lambda t: F.substring(t, F.lit(1), share)), " … ")
 
-    Each level embeds its nodes, assigns each to the nearest of a few centroids (the nodes of lowest id, so runs agree), and
-    summarises a cluster by the starts of its first five texts; it ends with one node or at the highest level. The number of centroids is
-    bounded by 64, the loop by `levels`; each level is written, so the plan stays short.
+
+def _nearest_seeds(nodes: DataFrame) -> DataFrame:
+    """Each node's nearest seed (pos below k) of its document by squared distance, ties to the lower one: document, pos, cluster.
+
+    Nodes and seeds of a document are packed into blocks and joined on the document; nothing is broadcast by need or collected.
+    """
+    pack = lambda df, name: df.groupBy("document", F.floor(F.col("pos") / BLOCK).alias(f"{name}_block")).agg(F.collect_list(F.struct("pos", "embedding")).alias(name))
+    a, b = pack(nodes, "rows"), pack(nodes.where("pos < k"), "seeds").withColumnRenamed("document", "__d")
+    pairs = a.join(b, F.col("document").eqNullSafe(F.col("__d"))).select("document", "rows", "seeds")
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def matrix(items: list) -> tuple[np.ndarray, np.ndarray]:
+            at, m = np.array([x["pos"] for x in items]), np.array([x["embedding"] for x in items], dtype=np.float64)
+            order = np.argsort(at)
+            return at[order], m[order]
+
+        for batch in batches:
+            for document, rows, seeds in zip(batch["document"], batch["rows"], batch["seeds"]):
+                (ra, rm), (sa, sm) = matrix(rows), matrix(seeds)
+                d = np.round((rm * rm).sum(1)[:, None] + (sm * sm).sum(1)[None, :] - 2 * rm @ sm.T, 6)
+                near = d.argmin(axis=1)
+                yield pd.DataFrame({"document": document, "pos": ra, "cluster": sa[near], "distance": d[np.arange(len(ra)), near]})
+
+    found = pairs.mapInPandas(best, "document string, pos int, cluster int, distance double")
+    return found.groupBy("document", "pos").agg(F.min(F.struct("distance", "cluster"))["cluster"].alias("cluster"))
+
+
+def summary_tree(chunks: DataFrame, key: str, text: str, per_cluster: int = 8, levels: int = 3, document: str | None = None, summarise: Callable[[Column], Column] = starts) -> DataFrame:
+    """A tree of cluster summaries over the chunks of each document (CH-20..24): document (if named), level, node_id, text, parent_id.
+
+    On each level a document of n nodes has n // per_cluster clusters, one if n is at most per_cluster: each node goes to
+    the nearest of so many centroids, the document's nodes of lowest key, so runs agree. A cluster is summarised by
+    `summarise` from the array of its first five texts, as in the reference. A document ends with one node or at the highest level.
+    Without `document` all chunks are one document's. The loop is bounded by `levels`; each level is written, so the plan stays short.
     """
-    level = chunks.where(F.char_length(text) > 0).select(F.lit(0).alias("level"), F.col(key).cast("string").alias("node_id"), F.col(text).alias("text"))
-    out = level.withColumn("parent_id", F.lit(None).cast("string")).limit(0)
+    owner = F.col(document).cast("string") if document else F.lit(None).cast("string")
+    level = chunks.where(F.char_length(text) > 0).select(owner.alias("document"), F.lit(0).alias("level"), F.col(key).cast("string").alias("node_id"), F.col(text).alias("text"), F.col(key).alias("place"))
+    columns = ["document", "level", "node_id", "text", "parent_id"]
+    parentless = lambda df: df.withColumn("parent_id", F.lit(None).cast("string")).select(columns)
+    out = None
     for n in range(levels):
-        nodes = materialise(embed(level, "text"), "tree")
-        count = nodes.count()
-        k = max(1, min(64, -(-count // per_cluster)))
-        seeds = [(i, r["embedding"]) for i, r in enumerate(nodes.orderBy("node_id").limit(k).collect())]
-        if not seeds:
-            break
-        placed = nearest_centroid(nodes, seeds).withColumn("parent_id", F.format_string("L%d-%d", F.lit(n + 1), F.col("cluster")))
-        out = out.unionByName(placed.select("level", "node_id", "text", "parent_id"))
-        first = F.row_number().over(Window.partitionBy("parent_id").orderBy("node_id"))
-        tops = placed.withColumn("rn", first).where("rn <= 5").select("parent_id", "rn", F.substring("text", 1, 200).alias("start"))
-        parts = F.array_sort(F.collect_list(F.struct("rn", "start")))
-        level = tops.groupBy(F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(parts, lambda p: p["start"]), " … ").alias("text")).withColumn("level", F.lit(n + 1))
-        if k == 1:
-            break
-    return out.unionByName(level.select("level", "node_id", "text").withColumn("parent_id", F.lit(None).cast("string")))
+        w = Window.partitionBy("document")
+        size = F.count("*").over(w)
+        placed = level.withColumns({"pos": F.row_number().over(w.orderBy("place", "text")) - 1, "k": F.greatest(F.lit(1), F.floor(size / per_cluster)).cast("int"), "size": size}).drop("place")
+        nodes = materialise(embed(placed, "text"), "tree")
+        out = parentless(nodes.where("size = 1")) if out is None else out.unionByName(parentless(nodes.where("size = 1")))
+        many = nodes.where("size > 1")
+        if many.isEmpty():
+            return out if document else out.drop("document")
+        near = _nearest_seeds(many).select(F.col("document").alias("__d"), F.col("pos").alias("__p"), "cluster")
+        parent = F.concat_ws("/", "document", F.format_string("L%d-%d", F.lit(n + 1), F.col("cluster")))
+        joined = many.join(near, F.col("document").eqNullSafe(F.col("__d")) & (F.col("pos") == F.col("__p")))
+        joined = materialise(joined.select("document", "level", "node_id", "text", parent.alias("parent_id"), "pos", "cluster"), "tree")
+        out = out.unionByName(joined.select(columns))
+        first = F.row_number().over(Window.partitionBy("document", "cluster").orderBy("pos"))
+        tops = joined.withColumn("rn", first).where("rn <= 5").groupBy("document", "cluster", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("rn", "text"))).alias("parts"))
+        level = tops.select("document", F.lit(n + 1).alias("level"), "node_id", summarise(F.transform("parts", lambda p: p["text"])).alias("text"), F.col("cluster").alias("place"))
+    out = parentless(level) if out is None else out.unionByName(parentless(level))
+    return out if document else out.drop("document")

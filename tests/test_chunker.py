@@ -45,6 +45,28 @@ def test_summary_tree(spark):
     assert all(r["parent_id"] is not None for r in tree if r["level"] == 0)
 
 
+def test_summary_tree_per_document(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(500)]
+    rows = [(d, i, " ".join(rng.choices(words, k=30))) for d, n in (("a", 600), ("b", 20), ("c", 1), (None, 9)) for i in range(n)]
+    tree = chunker.summary_tree(spark.createDataFrame(rows, "doc string, id bigint, text string"), "id", "text", document="doc").collect()
+    at = lambda d, level: [r for r in tree if r["document"] == d and r["level"] == level]
+    assert [len(at("a", n)) for n in (0, 1, 2, 3)] == [600, 75, 9, 1] and [len(at("b", n)) for n in (0, 1, 2, 3)] == [20, 2, 1, 0]
+    assert [len(at("c", n)) for n in (0, 1)] == [1, 0] and [len(at(None, n)) for n in (0, 1, 2)] == [9, 1, 0]
+    ids = {(r["document"], r["node_id"]): r["level"] for r in tree}
+    assert len(ids) == len(tree) and all(ids[r["document"], r["parent_id"]] == r["level"] + 1 for r in tree if r["parent_id"] is not None)
+    # By the definition, one by one: the nearest of the document's first 75 in order of their numbers, and the first five texts whole.
+    import numpy as np
+
+    from ledgerloom.functions.predictor import hashed_embedding
+
+    texts = [t for d, _, t in rows if d == "a"]
+    m = np.array([hashed_embedding(t) for t in texts], dtype=np.float32).astype(float)
+    near = [int(np.round(((m[:75] - v) ** 2).sum(1), 6).argmin()) for v in m]
+    assert {r["node_id"]: r["parent_id"] for r in at("a", 0)} == {str(i): f"a/L1-{c}" for i, c in enumerate(near)}
+    assert {r["node_id"]: r["text"] for r in at("a", 1)} == {f"a/L1-{c}": " … ".join([texts[i] for i in range(600) if near[i] == c][:5]) for c in set(near)}
+
+
 def test_html_keeps_tables_and_lists(spark):
     html = "<h1>Fees</h1><p>Some text.</p><table><tr><td>Class I</td><td>1%</td></tr><tr><td><ul><li>x</li></ul></td></tr></table><script>no</script>more<ul><li>a<li>b</ul>" + "<table>" + "<tr><td>row of cells</td></tr>" * 50 + "</table>"
     df = spark.createDataFrame([(1, html), (2, None), (3, "<table><tr><td>open")], "doc_id bigint, html string")
