@@ -698,7 +698,29 @@ def xb_facts(spark: SparkSession, d: str) -> DataFrame:
 @query("select row_id::varchar as filing_id, coalesce(series_id, 'none') || ' & more' as content from fund_periods")
 def xb_blocks(spark: SparkSession, d: str) -> DataFrame:
     """XB-11, XB-13."""
-    return ixbrl.text_blocks(ixbrl.events(_tagged(spark, d))).select("filing_id", "content")
+    return ixbrl.text_blocks(materialise(ixbrl.events(_tagged(spark, d)), "events")).select("filing_id", "content")
+
+
+@query("""
+select row_id::varchar as filing_id, 'b1' as id, 'f:NotesTextBlock' as name, 'Notes ' || coalesce(series_id, 'none') as content from fund_periods
+union all select row_id::varchar, 'n' || (row_id % 9)::varchar, 'ix:footnote:FeeStructure', coalesce(series_id, 'none') || ' ' || ['Incentive Fee', 'performance fee', 'Hurdle Rate', 'catch-up', 'high water mark', 'Expense Cap', 'fee waiver', 'Pre-Incentive Fee', 'NET INVESTMENT INCOME'][(row_id % 9 + 1)::int] || ' applies' from fund_periods""")
+def xb_footnotes(spark: SparkSession, d: str) -> DataFrame:
+    """XB-11..13: a continued block, a footnote about fees, whose keyword the row's number picks, and one about something else."""
+    words = F.array(*[F.lit(w) for w in ("Incentive Fee", "performance fee", "Hurdle Rate", "catch-up", "high water mark", "Expense Cap", "fee waiver", "Pre-Incentive Fee", "NET INVESTMENT INCOME")])
+    place, series = (F.col("row_id") % 9).cast("int"), F.coalesce("series_id", F.lit("none"))
+    html = F.concat(
+        F.lit("<html><body><ix:header><ix:footnote id='n"),
+        place.cast("string"),
+        F.lit("'><p>"),
+        series,
+        F.lit("</p><b>"),
+        F.get(words, place),
+        F.lit("</b>\n applies</ix:footnote><ix:footnote id='o'>Audited.</ix:footnote></ix:header><ix:nonNumeric name='f:NotesTextBlock' id='b1' continuedAt='k1'>Notes</ix:nonNumeric><p>between</p><ix:continuation id='k1'>"),
+        series,
+        F.lit("</ix:continuation></body></html>"),
+    )
+    noted = table(spark, d, "fund_periods", "row_id", "series_id").select(F.col("row_id").cast("string").alias("filing_id"), html.alias("html"))
+    return ixbrl.text_blocks(materialise(ixbrl.events(noted), "events")).select("filing_id", "id", "name", "content")
 
 
 @query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n, cast(round(sum(cast(value as decimal(18,6))), 6) as double) as total from events group by 1, 2")

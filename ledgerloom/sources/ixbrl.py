@@ -140,13 +140,24 @@ def numeric_facts(stream: DataFrame) -> DataFrame:
     return facts.join(contexts(stream), ["filing_id", "context_ref"], "left").select("filing_id", "pos", "id", "name", "context_ref", "unit", "value", "share_class", "period_start", "period_end", "instant")
 
 
+# What marks a footnote as one about fees, and the name of the block that is made of it.
+FEE_FOOTNOTE_KEYWORDS = ("incentive fee", "performance fee", "hurdle rate", "catch-up", "high water mark", "expense cap", "fee waiver", "pre-incentive fee", "net investment income")
+FEE_FOOTNOTE = "ix:footnote:FeeStructure"
+
+
+def fee_footnotes(stream: DataFrame) -> DataFrame:
+    """Footnotes about fees as text blocks (XB-12): all that hold a keyword in any case, repeated ids too; others are left out, as in the reference."""
+    about = F.greatest(*[F.contains(F.lower("text"), F.lit(k)) for k in FEE_FOOTNOTE_KEYWORDS])
+    return stream.where("kind = 'footnote'").where(about).select("filing_id", "pos", "id", F.lit(FEE_FOOTNOTE).alias("name"), F.col("text").alias("content"))
+
+
 def text_blocks(stream: DataFrame) -> DataFrame:
-    """Text blocks with the one element that continues them (XB-11, XB-13): empty ones are left out."""
+    """Text blocks with the one element that continues them, and the footnotes about fees (XB-11..13): empty ones are left out."""
     cont = stream.where("kind = 'continuation'").select("filing_id", F.col("id").alias("continued_at"), F.col("text").alias("more"))
     w = Window.partitionBy("filing_id", "id").orderBy("pos")
     blocks = stream.where("kind = 'block' and contains(name, 'Text')").withColumn("rn", F.row_number().over(w)).where("rn = 1 or id = ''")
     text = F.trim(F.concat_ws(" ", F.nullif(F.col("text"), F.lit("")), "more"))
-    return blocks.join(cont, ["filing_id", "continued_at"], "left").select("filing_id", "pos", "id", "name", text.alias("content")).where("content <> ''")
+    return blocks.join(cont, ["filing_id", "continued_at"], "left").select("filing_id", "pos", "id", "name", text.alias("content")).where("content <> ''").unionByName(fee_footnotes(stream))
 
 
 def fee_table(facts: DataFrame, tags: dict[str, str]) -> DataFrame:

@@ -86,6 +86,12 @@ def test_tagged_documents(spark):
     assert cover["Days"] == (True, True) and cover["Never"] == (True, False) and cover["OtherFees"] == (False, True)
 
 
+def test_fee_footnotes(spark):
+    html = "<ix:footnote id='a'>12.5% of <b>Pre-Incentive Fee</b>\n Net Investment Income</ix:footnote><ix:footnote id='b'>Audited.</ix:footnote><ix:footnote id='c'> </ix:footnote><ix:nonNumeric name='f:T' id='t'>x</ix:nonNumeric>"
+    rows = ixbrl.text_blocks(ixbrl.events(spark.createDataFrame([("x", html + HTML)], "filing_id string, html string"))).collect()
+    assert sorted((r["id"], r["name"], r["content"]) for r in rows) == [("a", "ix:footnote:FeeStructure", "12.5% of Pre-Incentive Fee Net Investment Income"), ("t1", "f:RiskTextBlock", "First part and more")]
+
+
 def test_predictors(spark):
     df = spark.createDataFrame([("management fee rate", "No. The management fee rate is 1%. Other.", 1), ("x", None, 2)], "q string, t string, n int")
     got = {r["n"]: r for r in predictor.predict(df, "q", "t").collect()}
