@@ -36,6 +36,37 @@ class RulePredictor:
         return best, score / len(wanted) if wanted else 0.0
 
 
+class LeadPredictor:
+    """A summary by rule: the first sentence of each paragraph, whatever the question; none for a blank text."""
+
+    def answer(self, question: str, text: str) -> tuple[str | None, float]:
+        firsts = [re.split(r"(?<=[.!?])\s+", p.strip())[0] for p in re.split(r"\n\s*\n", text or "") if p.strip()]
+        return (" ".join(firsts), 1.0) if firsts else (None, 0.0)
+
+
+class Entailment(Protocol):
+    """How far evidence entails a claim and how far it contradicts it, each from 0 to 1."""
+
+    def scores(self, claim: str, evidence: str) -> tuple[float, float]: ...
+
+
+class RuleEntailment:
+    """The share of the claim's words and numbers that the evidence holds; it contradicts instead if just one of them negates."""
+
+    def scores(self, claim: str, evidence: str) -> tuple[float, float]:
+        words = lambda t: set(re.findall(r"[a-z]{4,}|\d[\d.,]*(?<=\d)", t.lower()))
+        negates = lambda t: bool(re.search(r"\b(?:no|not|never|none|without)\b", t.lower()))
+        wanted = words(claim)
+        share = len(wanted & words(evidence)) / len(wanted) if wanted else 0.0
+        return (0.0, share) if negates(claim) != negates(evidence) else (share, 0.0)
+
+
+def word_overlap(query: str, texts: list[str]) -> list[float]:
+    """The share of the query's words that each text holds: relevance by rule."""
+    wanted = set(re.findall(r"\w+", query.lower()))
+    return [len(wanted & set(re.findall(r"\w+", t.lower()))) / len(wanted) if wanted else 0.0 for t in texts]
+
+
 def predict(df: DataFrame, question: str, text: str, predictor: Predictor | None = None) -> DataFrame:
     """Adds answer and answer_score. Only the rows given are sent, so filter before it; rows stream in Arrow batches."""
     p = predictor or RulePredictor()

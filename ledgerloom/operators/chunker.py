@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.predictor import embed
+from ledgerloom.functions.predictor import LeadPredictor, Predictor, embed, predict
 from ledgerloom.workspace import materialise
 
 #: Where a chunk may end, strongest first.
@@ -195,3 +195,27 @@ def summary_tree(chunks: DataFrame, key: str, text: str, per_cluster: int = 8, l
         level = tops.select("document", F.lit(n + 1).alias("level"), "node_id", summarise(F.transform("parts", lambda p: p["text"])).alias("text"), F.col("cluster").alias("place"))
     out = parentless(level) if out is None else out.unionByName(parentless(level))
     return out if document else out.drop("document")
+
+
+def section_summaries(chunks: DataFrame, document: str, section: str, title: str, position: str, text: str, predictor: Predictor | None = None) -> DataFrame:
+    """A summary of each section (CH-16, CH-17): document, section, title, place, summary. Sections without an answer have no row.
+
+    A section speaks by its first ten chunks, as far as those before hold at most 8000 characters, and of their text by the first
+    6000; the question is its title. place orders the sections of a document: their least position, then their key.
+    """
+    w = Window.partitionBy(document, section).orderBy(position, text)
+    size = F.coalesce(F.char_length(text), F.lit(0)) + 2
+    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.min(F.struct("__rn", title))[title]
+    rows = chunks.withColumns({"__rn": F.row_number().over(w), "__before": before}).where("__rn <= 10 and __before <= 8000")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__rn", F.coalesce(text, F.lit("")).alias("t")))), lambda p: F.concat(p["t"], F.lit("\n\n"))), "")
+    sections = rows.groupBy(document, section).agg(first.alias(title), F.min(position).alias("place"), F.substring(joined, 1, 6000).alias("__text"))
+    return predict(sections, title, "__text", predictor or LeadPredictor()).where("answer <> ''").select(document, section, title, "place", F.col("answer").alias("summary"))
+
+
+def document_summaries(sections: DataFrame, document: str, section: str, title: str, predictor: Predictor | None = None) -> DataFrame:
+    """A summary of each document from those of its sections in order (CH-18): document, summary. sections: from `section_summaries`."""
+    line = F.concat(F.lit("**"), F.coalesce(title, F.lit("")), F.lit("**: "), "summary")
+    parts = F.array_sort(F.collect_list(F.struct("place", section, line.alias("line"))))
+    texts = sections.groupBy(document).agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n\n").alias("__text")).withColumn("__q", F.lit("document"))
+    return predict(texts, "__q", "__text", predictor or LeadPredictor()).where("answer <> ''").select(document, F.col("answer").alias("summary"))

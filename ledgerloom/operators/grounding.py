@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerloom.functions.predictor import Entailment, Predictor, RuleEntailment, hashed_embedding, predict
+from ledgerloom.workspace import materialise
 
 
 def _flat(c: Column) -> Column:
@@ -61,3 +70,66 @@ def weighted_confidence(signals: list[tuple[Column, float]]) -> Column:
 def level(confidence: Column, high: float = 0.7, medium: float = 0.4) -> Column:
     """high, medium or low."""
     return F.when(confidence >= high, "high").when(confidence >= medium, "medium").otherwise("low")
+
+
+def _with(df: DataFrame, **kinds: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema.fields, *[T.StructField(k, t) for k, t in kinds.items()]])
+
+
+def sentence_similarity(df: DataFrame, claim: str, evidence: str, sources: str | None = None, threshold: float = 0.75, embedder: Callable[[str], list[float]] = hashed_embedding) -> DataFrame:
+    """The sentence of over 20 characters nearest to a claim, by cosine (GR-15): adds similarity, best_sentence, grounded.
+
+    Sentences are those of the evidence, then of the texts in `sources`, an array; the first of equal ones is taken. Without any
+    the similarity is 0 and nothing is grounded; a zero vector is similar to nothing.
+    """
+
+    def nearest(c: str | None, texts: list[str | None]) -> tuple[float, str | None]:
+        sentences = [s for t in texts for x in re.split(r"[.!?]+", t or "") if len(s := x.strip()) > 20]
+        if not sentences:
+            return 0.0, None
+        a, m = np.array(embedder(c or "")), np.array([embedder(s) for s in sentences])
+        norm = np.linalg.norm(a) * np.linalg.norm(m, axis=1)
+        cosine = np.round(np.divide(m @ a, norm, out=np.zeros(len(m)), where=norm > 0), 9)
+        return float(cosine.max()), sentences[int(cosine.argmax())]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            more = b[sources] if sources else [None] * len(b)
+            got = [nearest(c, [e, *(s if s is not None else [])]) for c, e, s in zip(b[claim], b[evidence], more)]
+            yield b.assign(similarity=[s for s, _ in got], best_sentence=[t for _, t in got])
+
+    return df.mapInPandas(run, _with(df, similarity=T.DoubleType(), best_sentence=T.StringType())).withColumn("grounded", F.col("best_sentence").isNotNull() & (F.col("similarity") >= threshold))
+
+
+def entailed(df: DataFrame, claim: str, evidence: str, model: Entailment | None = None, entail: float = 0.7, contradict: float = 0.7, longest: int = 2000) -> DataFrame:
+    """Whether evidence entails a claim and does not contradict it (GR-16): adds entailment, contradiction, grounded, confidence = e · (1 − c)."""
+    m = model or RuleEntailment()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [m.scores(c or "", e if len(e := t or "") <= longest else e[:longest] + "...") for c, t in zip(b[claim], b[evidence])]
+            yield b.assign(entailment=[float(e) for e, _ in got], contradiction=[float(c) for _, c in got])
+
+    e, c = F.col("entailment"), F.col("contradiction")
+    scored = df.mapInPandas(run, _with(df, entailment=T.DoubleType(), contradiction=T.DoubleType()))
+    return scored.withColumns({"grounded": (e >= entail) & (c < contradict), "confidence": e * (1 - c)})
+
+
+def cascade(df: DataFrame, claim: str, evidence: str, model: Entailment | None = None, judge: Predictor | None = None, high: float = 0.85, entail: float = 0.7, contradict: float = 0.7, least: float = 0.5, longest: int = 2000, ask: bool = True) -> DataFrame:
+    """Entailment first, a judge for what it leaves open (GR-18): adds entailment, contradiction, grounded, confidence, strategy.
+
+    From `high` on the entailment's verdict stands; else a contradiction rejects with confidence 0.1; only the rest are sent to the
+    judge, whose score is the confidence, grounded from `least` on where it answers. Without `ask` the rest keep the first verdict.
+    Scores are written once, so that no row is scored again for each branch.
+    """
+    first = materialise(entailed(df, claim, evidence, model, entail, contradict, longest), "cascade")
+    strategy = F.when(F.col("entailment") >= high, "hybrid_nli_fast").when(F.col("contradiction") >= contradict, "hybrid_nli_reject").otherwise("hybrid_llm_fallback" if ask else "hybrid_nli_only")
+    rejected = F.col("strategy") == "hybrid_nli_reject"
+    first = first.withColumn("strategy", strategy).withColumns({"grounded": F.col("grounded") & ~rejected, "confidence": F.when(rejected, 0.1).otherwise(F.col("confidence"))})
+    if not ask:
+        return first
+    shown = F.when(F.char_length(evidence) > longest, F.concat(F.substring(evidence, 1, longest), F.lit("..."))).otherwise(F.col(evidence))
+    judged = predict(first.where("strategy = 'hybrid_llm_fallback'").withColumn("__shown", shown), claim, "__shown", judge)
+    verdict = F.col("answer").isNotNull() & (F.col("answer_score") >= least)
+    judged = judged.withColumns({"grounded": verdict, "confidence": F.col("answer_score")}).select(first.columns)
+    return first.where("strategy <> 'hybrid_llm_fallback'").unionByName(judged)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.predictor import word_overlap
+
 #: A small default lexicon: field → {weight: terms}. Pass another of the same shape for other corpora.
 LEXICON: dict[str, dict[int, tuple[str, ...]]] = {
     "repurchase": {3: ("repurchase offer", "tender offer"), 2: ("repurchase", "redemption"), 1: ("shares", "notice"), -2: ("borrow",)},
@@ -56,6 +58,35 @@ def adaptive_settings(n: Column) -> Column:
     return F.when(n > 2000, step(20, 25, 200)).when(n > 1000, step(15, 20, 150)).when(n > 500, step(12, 15, 100)).otherwise(step(10, 10, 50))
 
 
+def rerank(df: DataFrame, groups: list[str], order: list[Column], query: str, text: str, scorer: Callable[[str, list[str]], list[float]] | None = word_overlap, first_pass: int = 50, k: int = 15, threshold: float = 0.3) -> DataFrame:
+    """The first `first_pass` rows per group, scored anew, the best k with at least `threshold` (RT-05): adds original_index, relevance.
+
+    `scorer` gets a group's query and texts in one call. Where it fails, the group keeps its first k rows with relevance 1, whatever
+    the threshold; without a scorer all rows stay with relevance 1. Only texts go to Python, at most `first_pass` a group.
+    """
+    placed = df.withColumn("original_index", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1)
+    if scorer is None:
+        return placed.withColumn("relevance", F.lit(1.0))
+
+    @F.pandas_udf("array<double>")
+    def scored(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(q: str | None, ts: list[str | None]) -> list[float] | None:
+            try:
+                got = [float(s) for s in scorer(q or "", [t or "" for t in ts])]
+                return got if len(got) == len(ts) else None
+            except Exception:  # whatever an outside service raises
+                return None
+
+        return pd.Series([one(q, ts) for q, ts in zip(queries, texts)], dtype=object)
+
+    rows = F.array_sort(F.collect_list(F.struct("original_index", *[c for c in df.columns if c not in groups])), lambda a, b: a["original_index"] - b["original_index"])
+    packed = placed.where(F.col("original_index") < first_pass).groupBy(*groups).agg(rows.alias("__rows"))
+    packed = packed.withColumn("__scores", scored(F.col("__rows")[0][query] if query not in groups else F.col(query), F.transform("__rows", lambda r: r[text])))
+    each = packed.select(*groups, "__scores", F.posexplode("__rows").alias("__i", "__row")).select(*groups, "__row.*", F.col("__scores").isNull().alias("__failed"), F.coalesce(F.get("__scores", F.col("__i")), F.lit(1.0)).alias("relevance"))
+    best = top_k(each, groups, [F.desc("relevance"), F.col("original_index")], k, "__rank")
+    return best.where(F.col("__failed") | (F.col("relevance") >= threshold)).select(*df.columns, "original_index", "relevance")
+
+
 def fuse_two(left: DataFrame, right: DataFrame, keys: list[str], k: int = 60, missing: int = 1000) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists with a penalty rank for what a list lacks (RT-10): keys, ranks, rrf, found_by."""
     l, r = left.select(*keys, F.col("rank").alias("rank_l")), right.select(*keys, F.col("rank").alias("rank_r"))

@@ -74,3 +74,18 @@ def test_html_keeps_tables_and_lists(spark):
     first = [(r["kind"], r["content"]) for r in rows if r["doc_id"] == 1]
     assert first[0] == ("text", "Fees\n\nSome text.") and first[1][0] == "table" and "Class I 1%" in first[1][1] and first[2] == ("text", "more") and first[3] == ("list", "a\nb")
     assert all(len(r["content"]) <= 200 for r in rows) and {r["doc_id"] for r in rows} == {1, 3}
+
+
+def test_section_and_document_summaries(spark):
+    class Whole:
+        def answer(self, question, text):
+            return (f"{question}|{len(text)}|{text[:7]}", 1.0) if question != "none" else (None, 0.0)
+
+    rows = [("a", "s2", "Fees", i, f"{i:02d}" + "x" * 500) for i in range(12)] + [("a", "s1", "Long", 1, "y" * 7990), ("a", "s1", "Long", 2, "z" * 50), ("a", "s1", "Long", 3, "never"), ("a", "s3", "none", 0, "q"), ("b", "s1", "Null", 0, None)]
+    chunks = spark.createDataFrame(rows, "doc string, sec string, title string, i int, t string")
+    got = {(r["doc"], r["sec"]): r["summary"] for r in chunker.section_summaries(chunks, "doc", "sec", "title", "i", "t", Whole()).collect()}
+    assert got == {("a", "s2"): "Fees|5040|00xxxxx", ("a", "s1"): "Long|6000|yyyyyyy", ("b", "s1"): "Null|2|\n\n"}
+    short = spark.createDataFrame([("a", "s2", "B", 0, "Two. More."), ("a", "s1", "A", 1, "One.\n\nAlso. No."), ("c", "s1", "C", 0, " ")], "doc string, sec string, title string, i int, t string")
+    sections = chunker.section_summaries(short, "doc", "sec", "title", "i", "t")
+    assert {r["sec"]: r["summary"] for r in sections.collect()} == {"s1": "One. Also.", "s2": "Two."}
+    assert [tuple(r) for r in chunker.document_summaries(sections, "doc", "sec", "title").collect()] == [("a", "**B**: Two. **A**: One.")]
