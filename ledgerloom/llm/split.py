@@ -53,9 +53,17 @@ def title_size(title: Column) -> Column:
 
 
 def boundary_needed(content: Column, room: Column) -> Column:
-    """The coarsest kind of boundary at which cutting everywhere leaves no stretch longer than `room`; else `none`."""
-    longest = lambda kind: F.array_max(F.transform(F.split(content, _RUN[kind], -1), F.char_length))
-    return F.coalesce(*[F.when(longest(k) <= room, k) for k in KINDS], F.lit("none"))
+    """The coarsest kind of boundary at which cutting everywhere leaves no stretch longer than `room`; else `none`.
+
+    By extraction: matches of as few characters as possible, at most `room`, up to the next run of that kind or the end, each where
+    its predecessor ended. A kind will do if they consume the whole content.
+    """
+
+    def consumed(kind: str) -> Column:
+        stretch = F.concat(F.lit(r"(?s)\G.{0,"), F.greatest(room, F.lit(0)).cast("string"), F.lit("}?(?:" + _RUN[kind] + r"|\z)"))
+        return F.aggregate(F.regexp_extract_all(content, stretch, F.lit(0)), F.lit(0), lambda n, x: n + F.char_length(x))
+
+    return F.coalesce(*[F.when((room >= 0) & (consumed(k) == F.char_length(content)), k) for k in KINDS], F.lit("none"))
 
 
 def split_chunks(chunks: DataFrame, limit: int = 2000, overlap: int = 200, key: str = "chunk_id") -> DataFrame:

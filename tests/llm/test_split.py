@@ -71,6 +71,21 @@ def test_pieces(spark):
         assert content[at:].strip(" \t\r\n") == ""
 
 
+def test_boundary_by_bounded_extraction(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    cases = [(rng.randint(-1, 12), "".join(rng.choices("ab. \n\r\t!😀", k=rng.randint(0, 40)))) for _ in range(3000)]
+    df = spark.createDataFrame(cases, "room int, content string")
+    needed = split.boundary_needed(F.col("content"), F.col("room"))
+    longest = {k: F.array_max(F.transform(F.split("content", run, -1), F.char_length)) for k, run in split._RUN.items()}
+    by_split = F.coalesce(*[F.when(longest[k] <= F.col("room"), k) for k in split.KINDS], F.lit("none"))
+    got = df.select("room", "content", needed.alias("a"), by_split.alias("b")).collect()
+    assert [r for r in got if r["a"] != r["b"]] == [] and {r["a"] for r in got} == {*split.KINDS, "none"}
+    plan = split.oversized(split.split_chunks(spark.createDataFrame([("1", "T", "x", 0)], SCHEMA)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and " split(" not in plan and "(split(" not in plan
+
+
 def test_cuts_at_the_coarsest_boundary_with_overlap(spark):
     para = "word " * 100 + "end."
     got, _ = rows(spark, [("T", "\n\n".join([para] * 12))])
