@@ -8,8 +8,8 @@ from ledgerloom.llm import mixing, spans, split, tokenise
 from ledgerloom.sources.tables import table
 
 
-def _pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_chunks(table(spark, d, "chunks", "chunk_id", "section_title", "content"))
+def _pieces(spark: SparkSession, d: str, rest_of_title: bool = False) -> DataFrame:
+    return split.split_chunks(table(spark, d, "chunks", "chunk_id", "section_title", "content"), rest_of_title=rest_of_title)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,8 +18,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """All pieces of all chunks."""
-    return _pieces(spark, d)
+    """All pieces of all chunks, and what is left of overlong titles."""
+    return _pieces(spark, d, rest_of_title=True)
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -66,7 +66,7 @@ def boundary_needed(content: Column, room: Column) -> Column:
     return F.coalesce(*[F.when((room >= 0) & (consumed(k) == F.char_length(content)), k) for k in KINDS], F.lit("none"))
 
 
-def split_chunks(chunks: DataFrame, limit: int = 2000, overlap: int = 200, key: str = "chunk_id") -> DataFrame:
+def split_chunks(chunks: DataFrame, limit: int = 2000, overlap: int = 200, key: str = "chunk_id", rest_of_title: bool = False) -> DataFrame:
     """Cut chunks (key, section_title, content) whose title and content exceed `limit` characters into pieces.
 
     A chunk's size is the length of its content, plus its title's length and 1 unless the title is null. One row per
@@ -74,12 +74,15 @@ def split_chunks(chunks: DataFrame, limit: int = 2000, overlap: int = 200, key:
     content needs, `none` if even words are too long), char_start and char_end in content, overlap with the
     predecessor, and piece, which is the title, a line break and content[char_start:char_end]. Pieces lose only white
     space at cuts. A chunk that fits is one piece, as stored; null content is one piece of the title alone; an oversized
-    content of nothing but white space is one piece of none of it. A title that leaves less than a tenth of the limit is
-    carried cut to nine tenths. Repeated keys give rows each; extra columns are ignored. The overlap is `overlap`
+    content of nothing but white space is one piece of none of it. A title that leaves
+    no room for a character of content is carried cut to nine tenths of the limit; with `rest_of_title` the rest of it
+    follows in pieces of its own, of at most `limit` characters, without a title, content or overlap. Repeated keys give rows each; extra columns are ignored. The overlap is `overlap`
     characters, or what room the piece leaves where that is less.
     """
     size = F.coalesce(F.char_length("content"), F.lit(0)) + title_size(F.col("section_title"))
-    title = F.when(title_size(F.col("section_title")) > limit - limit // 10, F.substring("section_title", 1, limit - limit // 10 - 1)).otherwise(F.col("section_title"))
+    carried = limit - limit // 10 - 1
+    too_long = title_size(F.col("section_title")) >= limit
+    title = F.when(too_long, F.substring("section_title", 1, carried)).otherwise(F.col("section_title"))
     df = chunks.select(key, "section_title", "content", size.alias("size"), title.alias("head"))
     room = (F.lit(limit) - title_size(F.col("head"))).cast("int")
     over = F.col("size") > limit
@@ -101,9 +104,18 @@ def split_chunks(chunks: DataFrame, limit: int = 2000, overlap: int = 200, key:
     whole = F.array(F.struct(zero.alias("piece_index"), zero.alias("char_start"), F.coalesce(F.char_length("content"), zero).alias("char_end"), zero.alias("overlap")))
     blank = F.array(F.struct(zero.alias("piece_index"), zero.alias("char_start"), zero.alias("char_end"), zero.alias("overlap")))
     cuts = F.when(over, F.when(F.size("ends") > 0, F.transform("ends", cut)).otherwise(blank)).otherwise(whole)
-    df = computed_once(df, {"cuts": cuts}).select(key, "head", "content", "boundary", F.size("cuts").alias("n_pieces"), F.explode("cuts").alias("c"))
+    df = computed_once(df, {"cuts": cuts}).withColumn("n_cuts", F.size("cuts"))
+    if rest_of_title:
+        n_rest = F.ceil((F.char_length("section_title") - carried) / limit).cast("int")
+        at = F.coalesce(F.char_length("content"), zero)
+        rest = F.transform(F.sequence(zero, n_rest - 1), lambda j: F.struct((F.col("n_cuts") + j).alias("piece_index"), at.alias("char_start"), at.alias("char_end"), zero.alias("overlap")))
+        df = df.withColumn("cuts", F.when(too_long, F.concat("cuts", rest)).otherwise(F.col("cuts")))
+    df = df.select(key, "section_title", "head", "content", "boundary", "n_cuts", F.size("cuts").alias("n_pieces"), F.explode("cuts").alias("c"))
     body = F.substring(F.coalesce("content", F.lit("")), F.col("c.char_start") + 1, F.col("c.char_end") - F.col("c.char_start"))
     piece = F.when(F.col("head").isNull(), body).otherwise(F.concat("head", F.lit("\n"), body))
+    if rest_of_title:
+        beyond = F.col("c.piece_index") - F.col("n_cuts")
+        piece = F.when(beyond >= 0, F.substring(F.col("section_title"), carried + 1 + beyond * limit, F.lit(limit))).otherwise(piece)
     return df.select(key, "c.piece_index", "n_pieces", "boundary", "c.char_start", "c.char_end", "c.overlap", piece.alias("piece"))
 
 

@@ -93,6 +93,28 @@ def test_cuts_at_the_coarsest_boundary_with_overlap(spark):
     assert [p["overlap"] for p in got[0][1:]] == [200] * (len(got[0]) - 1)
 
 
+def test_long_titles_lose_nothing(spark):
+    title = lambda n: "".join(chr(97 + i % 26) for i in range(n))
+    content = "some words " * 30
+    cases = [(title(n), content) for n in (1799, 1800, 1998, 1999, 2500, 6100)] + [(title(3800), None), (None, "x " * 1500), (title(2100), "")]
+    df = spark.createDataFrame([(str(i), t, c, 0) for i, (t, c) in enumerate(cases)], SCHEMA)
+    got = {}
+    for r in split.split_chunks(df, rest_of_title=True).collect():
+        got.setdefault(int(r["chunk_id"]), []).append(r)
+    for i, (t, c) in enumerate(cases):
+        pieces = sorted(got[i], key=lambda r: r["piece_index"])
+        assert [p["piece_index"] for p in pieces] == list(range(len(pieces))) and {p["n_pieces"] for p in pieces} == {len(pieces)}
+        assert all(len(p["piece"]) <= 2000 for p in pieces)
+        whole = t is None or len(t) <= 1998
+        head = "" if t is None else (t if whole else t[:1799]) + "\n"
+        carrying = [p for p in pieces if t is None or p["piece"].startswith(head)]
+        covered = {j for p in carrying for j in range(p["char_start"], p["char_end"])}
+        assert all(p["piece"] == head + (c or "")[p["char_start"] : p["char_end"]] for p in carrying)
+        assert all((c or "")[j].isspace() for j in set(range(len(c or ""))) - covered)
+        rest = "".join(p["piece"] for p in pieces[len(carrying) :])
+        assert rest == ("" if whole else t[1799:])
+
+
 def test_nulls_repeats_and_empty(spark):
     got, df = rows(spark, [("T", None), (None, None), ("T", "")])
     assert [got[i][0]["piece"] for i in range(3)] == ["T\n", "", "T\n"]
