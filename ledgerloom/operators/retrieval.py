@@ -142,6 +142,21 @@ def nearest_centroid(vectors: DataFrame, centroids: list[tuple[int, list[float]]
     return vectors.withColumn("__near", F.array_min(options)).withColumns({"cluster": F.col("__near.cluster"), "distance": F.col("__near.distance")}).drop("__near")
 
 
+def nearest_mean(vectors: DataFrame, means: DataFrame, label: str, mean: str, column: str = "embedding", block: int = 256) -> DataFrame:
+    """Each vector's nearest of any number of means by squared distance, ties to the lower label (CH-22): adds cluster, distance.
+
+    means: label, mean (an array). They are packed into blocks, and every row meets every block in a join; nothing is
+    collected. Rows are told apart by a number of their own, so repeated ones all stay.
+    """
+    n = max(1, -(-means.count() // block))
+    packed = means.groupBy(F.pmod(F.xxhash64(label), F.lit(n)).alias("__block")).agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col(mean).alias("m"))).alias("__means")).drop("__block")
+    dist = lambda m: F.aggregate(F.zip_with(F.col(column), m, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
+    near = F.array_min(F.transform("__means", lambda c: F.struct(F.round(dist(c["m"]), 6).alias("distance"), c["label"].alias("cluster"))))
+    pairs = vectors.withColumn("__row", F.monotonically_increasing_id()).join(packed, how="cross").withColumn("__near", near)
+    best = pairs.groupBy("__row").agg(F.min("__near").alias("__near"), F.first(F.struct(*vectors.columns)).alias("__v"))
+    return best.select("__v.*", F.col("__near.cluster").alias("cluster"), F.col("__near.distance").alias("distance"))
+
+
 def pack_within(df: DataFrame, groups: list[str], order: list[Column], size: str, budget: int) -> DataFrame:
     """The leading rows of each group whose sizes sum to at most `budget` (RT-43, RT-45)."""
     running = F.sum(size).over(Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -260,10 +260,10 @@ with c as (select label, list_transform(range(1, 65), lambda i: avg_at[i]) as m
 d as (select vec_id, c.label as cluster, round(list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::double - m[i]) * (embedding[i]::double - m[i]))), 6) as distance from embeddings, c)
 select vec_id, cluster::int as cluster, distance from d qualify row_number() over (partition by vec_id order by distance, cluster) = 1""")
 def rt_centroids(spark: SparkSession, d: str) -> DataFrame:
-    """CH-22: each vector's nearest of the ten labels' means."""
+    """CH-22: each vector's nearest of all labels' means."""
     v = table(spark, d, "embeddings", "vec_id", "embedding", "label")
-    means = v.groupBy("label").agg(F.array(*[F.round(F.avg(F.get("embedding", F.lit(i)).cast("double")), 4) for i in range(64)]).alias("m")).orderBy("label").limit(256).collect()
-    return R.nearest_centroid(v, [(r["label"], r["m"]) for r in means]).select("vec_id", "cluster", "distance")
+    means = v.groupBy("label").agg(F.array(*[F.round(F.avg(F.get("embedding", F.lit(i)).cast("double")), 4) for i in range(64)]).alias("m"))
+    return R.nearest_mean(v, materialise(means, "means"), "label", "m").select("vec_id", "cluster", "distance")
 
 
 @query("""
