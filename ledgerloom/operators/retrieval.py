@@ -126,10 +126,11 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
         for b in batches:
             for qs, rs in zip(b["qbs"], b["rbs"]):
                 (qi, qm), (ri, rm) = unit(qs), unit(rs)
-                s = np.round(qm @ rm.T, 6)
-                order = np.lexsort((np.broadcast_to(ri, s.shape), -s), axis=1)[:, : k + 1]
+                s = np.round(qm @ rm.T, 6) + 0.0  # no negative zero
+                s[(qi[:, None] == ri[None, :]) | ~qm.any(axis=1)[:, None] | ~rm.any(axis=1)[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ri, s.shape), -s), axis=1)[:, :k]
                 out = pd.DataFrame({"query_id": np.repeat(qi, order.shape[1]), key: ri[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-                yield out[(out["query_id"] != out[key]) & (out["score"].abs() > 0)]
+                yield out[out["score"] > -np.inf]
 
     hits = pairs.select("qbs", "rbs").mapInPandas(best, f"query_id bigint, {key} bigint, score double")
     return top_k(hits, ["query_id"], [F.desc("score"), F.col(key)], k)
