@@ -69,7 +69,7 @@ def quotas(totals: list[tuple[str, int, int]], plan: list[tuple[str, float, int]
         if tokens > 0:
             by_source.setdefault(source, []).append((shard, tokens))
     have = [sum(t for _, t in by_source.get(s, [])) for s, _, _ in plan]
-    seats = sainte_lague([w for _, w, _ in plan], round(size / block), [h * r // block for h, (_, _, r) in zip(have, plan)])
+    seats = sainte_lague([w for _, w, _ in plan], round(size / block), [-(-h * r // block) for h, (_, _, r) in zip(have, plan)])  # a cap's last block may be a part of one
     out = []
     for (source, _, repeats), n, total in zip(plan, seats, have):
         shards = by_source.get(source, [])

@@ -53,6 +53,13 @@ def test_shares_and_caps(spark, sized):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mixed.collect()))
 
 
+def test_sources_under_a_block_take_part():
+    totals = [("big", 0, 50_000), ("tiny", 0, 300), ("odd", 0, 700)]
+    got = mixing.quotas(totals, [("big", 0.5, 1), ("odd", 0.3, 2), ("tiny", 0.2, 1)], 20_000, 512)
+    assert ("tiny", 0, 1, 0) in got and ("odd", 0, 2, 0) in got
+    assert mixing.quotas(totals, [("big", 0.5, 1), ("tiny", 0.5, 0)], 20_000, 512) == [("big", 0, 0, 39 * 512)]
+
+
 def test_empty(spark, sized):
     none = spark.createDataFrame([], "plan_id string, source string, target_share double, max_repeats int, budget_ratio double")
     assert mixing.mix(sized, none).count() == 0
