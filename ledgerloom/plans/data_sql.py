@@ -121,11 +121,42 @@ union all select record_id, 'share_classes', k, i::bigint, coalesce(r->>'class_n
 union all select record_id, 'error_breakdown', k, 0, err from errs
 union all select record_id, t, k, i::bigint, f->>'$' from fle"""
 
-_FUNDS = _P3[: _P3.index("top as (")].rstrip().rstrip(",") + """
-select record_id, k as fund_name, """ + ", ".join(f"try_cast(v->>'{c}' as {t}) as {c}" for c, t in (("accuracy", "double"), ("precision", "double"), ("recall", "double"), ("f1_score", "double"), ("total_fields", "int"), ("correct_fields", "int"))) + " from e where t = 'per_fund'"
+_ENTRIES = _P3[: _P3.index("top as (")].rstrip().rstrip(",")
+
+
+def _casts(x: str, **columns: str) -> str:
+    return ", ".join(f"try_cast({x}->>'{c}' as {t}) as {c}" for c, t in columns.items())
+
+
+_FUNDS = f"{_ENTRIES} select record_id, k as fund_name, {_casts('v', accuracy='double', precision='double', recall='double', f1_score='double', total_fields='int', correct_fields='int')} from e where t = 'per_fund'"
+_BODIES = f"{_ENTRIES} select record_id, 0::int as body_ord, {_casts('j', fund_name='varchar', cik='varchar', filing_date='date', form_type='varchar', verified_by='varchar', notes='varchar', run_id='varchar', ground_truth_version='varchar')} from u where json_type(j) = 'OBJECT' "
+_FIELDS = f"""{_ENTRIES}
+select record_id, k as field_path, case when json_type(v) = 'OBJECT' then case when json_type(v->'expected') not in ('OBJECT', 'ARRAY') then v->>'expected' end else v->>'$' end as given,
+  {_casts("v", nullable="boolean", tolerance="double", match_mode="varchar", source_section="varchar", source_quote="varchar")} from e where t = 'fields'"""
+_CLASSES = f"""{_P3[: _P3.index("errs as (")].rstrip().rstrip(",")}
+select record_id, k as field_path, i::bigint as ord, coalesce(r->>'class_name', '') as class_name, {_casts("r", minimum_initial_investment="bigint", minimum_additional_investment="bigint", sales_load_pct="double", distribution_fee_pct="double")} from sce where json_type(r) = 'OBJECT'"""
+_ERRORS = f"{_ENTRIES}, x as (select record_id, k, v->'error_breakdown' as b from e where t = 'per_fund' and json_type(v->'error_breakdown') = 'OBJECT') select record_id, k as fund_name, err as error_type, try_cast(b->>err as bigint) as n from (select *, unnest(json_keys(b)) as err from x)"
+_FIELD_RESULTS = f"{_ENTRIES} select record_id, k as field_path, {_casts('v', total='int', correct='int')} from e where t = 'per_field'"
+_FUND_LISTS = f"{_P3[: _P3.index('select * from top')]} select record_id, t as list_name, k as field_path, i::bigint as ord, f->>'$' as fund_name from fle"
+
+_MEMBERS = f"""{_P3[: _P3.index("errs as (")].rstrip().rstrip(",")},
+lists as (select record_id, k, unnest([{{'t': 'funds_correct', 'l': v->'funds_correct'}}, {{'t': 'funds_incorrect', 'l': v->'funds_incorrect'}}], recursive := true) from e where t = 'per_field'),
+held as (select s.*, case when json_type(e.v) = 'OBJECT' and list_contains(json_keys(e.v), 'expected') then 'expected' else '' end as p from sct s join e on e.record_id = s.record_id and e.k = s.k and e.t = 'fields')
+select record_id, 'bodies' as parent_table, '' as parent_key, 'overall.' || o as member_path, (j->'overall')->>o as value from (select record_id, j, unnest(json_keys(j->'overall')) as o from u where json_type(j->'overall') = 'OBJECT')
+union all select record_id, 'bodies', '', t, x::varchar from part where x::varchar in ('{{}}', '[]')
+union all select record_id, 'per_field', k, t, '[]' from lists where json_type(l) = 'ARRAY' and json_array_length(l) = 0
+union all select record_id, 'fields', k, p, '[]' from held where json_type(x) = 'ARRAY' and json_array_length(x) = 0
+union all select record_id, 'fields', k, p || '[' || i || ']', r->>'$' from (select *, unnest(x::json[]) as r, generate_subscripts(x::json[], 1) as i from held where json_type(x) = 'ARRAY' and json_array_length(x) > 0) where json_type(r) <> 'OBJECT'"""
 
 SQL: dict[str, str] = {
     "p3_funds": _FUNDS,
+    "p3_bodies": _BODIES,
+    "p3_fields": _FIELDS,
+    "p3_share_classes": _CLASSES,
+    "p3_errors": _ERRORS,
+    "p3_field_results": _FIELD_RESULTS,
+    "p3_fund_lists": _FUND_LISTS,
+    "p3_members": _MEMBERS,
     "p1_found": _P1,
     "p3_found": _P3,
     "p4_found": _P4,
