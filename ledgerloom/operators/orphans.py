@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import accession_key, cik_key, quarter_label
 
-#: A time line holds about so many references at least; so there are never more split keys than MOST_SPLIT.
+#: References from which on a key is split over time lines of so many each; the most keys that are split, and the most lines of one.
 LINE_ROWS, MOST_SPLIT = 250_000, 4096
 
 
@@ -56,12 +56,12 @@ def find_orphans(groups: list[tuple[str, Parent, list[Reference]]], line_rows: i
             refs = x if refs is None else refs.unionByName(x)
     refs, parents = refs.where("key is not null"), parents.where("key is not null")
 
-    # Keys too hot for one time line: at most MOST_SPLIT of them, whatever the data, as each has over total/MOST_SPLIT rows.
-    counts = refs.groupBy("space", "key").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    per_line = max(line_rows, -(-total // MOST_SPLIT))
-    hot = counts.where(F.col("n") > per_line).select("space", "key", F.ceil(F.col("n") / per_line).cast("int").alias("lines"))
-    refs = refs.join(F.broadcast(hot), ["space", "key"], "left").withColumn("line", F.coalesce(F.pmod(F.xxhash64("table_name", "row_id"), "lines"), F.lit(0)).cast("int"))
+    # Keys too hot for one time line: the MOST_SPLIT largest at most, so any other has under total / MOST_SPLIT references. Counted once.
+    counts = refs.groupBy("space", "key").agg(F.count("*").alias("n")).where(F.col("n") > line_rows)
+    largest = counts.orderBy(F.desc("n"), "space", "key").limit(MOST_SPLIT).collect()
+    hot = refs.sparkSession.createDataFrame([(r["space"], r["key"], min(-(-r["n"] // line_rows), MOST_SPLIT)) for r in largest], "space string, key string, lines int")
+    line = F.coalesce(F.pmod(F.xxhash64("table_name", "row_id"), "lines"), F.lit(0)).cast("int")
+    refs = refs.join(F.broadcast(hot), ["space", "key"], "left").withColumn("line", line) if largest else refs.withColumn("line", F.lit(0))
 
     # Parents once per key and time: what starts, what ends; and once per key: that there are some, and when the last came in.
     lived = F.col("end").isNull() | F.col("start").isNull() | (F.col("start") < F.col("end"))
@@ -71,7 +71,10 @@ def find_orphans(groups: list[tuple[str, Parent, list[Reference]]], line_rows: i
     steps = steps.groupBy("space", "key", F.col("e.t").alias("t")).agg(F.sum("e.delta").alias("delta"))
     last = parents.groupBy("space", "key").agg(F.max("start").alias("last_start"), F.lit(True).alias("known"))
     lines = F.sequence(F.lit(0), F.coalesce(F.col("lines"), F.lit(1)) - 1)
-    copied = lambda df: df.join(F.broadcast(hot), ["space", "key"], "left").withColumn("line", F.explode(lines)).drop("lines")
+
+    def copied(df: DataFrame) -> DataFrame:
+        """Parent rows for every time line of their key."""
+        return df.join(F.broadcast(hot), ["space", "key"], "left").withColumn("line", F.explode(lines)).drop("lines") if largest else df.withColumn("line", F.lit(0))
 
     # At one moment: the header, what starts and ends, then the references.
     head = copied(last).select("space", "key", "line", F.lit(None).cast("timestamp_ntz").alias("t"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("delta"), "known", "last_start")
