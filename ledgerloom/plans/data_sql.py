@@ -146,7 +146,7 @@ select record_id, 'bodies' as parent_table, '' as parent_key, 'overall.' || o as
 union all select record_id, 'bodies', '', t, x::varchar from part where x::varchar in ('{{}}', '[]')
 union all select record_id, 'per_field', k, t, '[]' from lists where json_type(l) = 'ARRAY' and json_array_length(l) = 0
 union all select record_id, 'fields', k, p, '[]' from held where json_type(x) = 'ARRAY' and json_array_length(x) = 0
-union all select record_id, 'fields', k, p || '[' || i || ']', r->>'$' from (select *, unnest(x::json[]) as r, generate_subscripts(x::json[], 1) as i from held where json_type(x) = 'ARRAY' and json_array_length(x) > 0) where json_type(r) <> 'OBJECT'"""
+union all select record_id, 'fields', k, p || '[' || i || ']', r->>'$' from (select *, unnest(x::json[]) as r, generate_subscripts(x::json[], 1) as i from held where json_type(x) = 'ARRAY' and json_array_length(x) > 0) where coalesce(json_type(r), 'NULL') <> 'OBJECT'"""
 
 SQL: dict[str, str] = {
     "p3_funds": _FUNDS,
