@@ -7,24 +7,36 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import nested, orphans, units, wide
 from ledgerloom.sources.tables import table
+from ledgerloom.workspace import materialise
 
 
-def _units(spark: SparkSession, d: str) -> DataFrame:
-    return units.harmonise_units(
+def _unit_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
         table(spark, d, "repurchase_terms", "extraction_id", "method", "lock_up_period_years", "lock_up_period_days", "citation"),
         table(spark, d, "leverage_limits", "extraction_id", "method", "max_leverage_pct", "leverage_basis", "citation"),
         table(spark, d, "unit_conventions"),
     )
 
 
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    terms, limits, notes = _unit_tables(spark, d)
+    return units.parse_values(units.all_values(terms, limits), notes)
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Values stated in another unit than the declared one, converted."""
-    return units.stated_conversions(_units(spark, d))
+    """Values stated in another unit than the declared one, converted. What is stated needs no mixture, so none is fitted."""
+    return units.stated_conversions(_parsed(spark, d))
 
 
 def p1_harmonised(spark: SparkSession, d: str) -> DataFrame:
     """Every stated value with evidence, unit, common value, posterior and flag."""
-    return _units(spark, d)
+    return units.harmonise_units(*_unit_tables(spark, d))
+
+
+def p1_inferred(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture's record per field on bare numbers whose stated unit is hidden from it: how many, sure, right, both."""
+    by_method = units.held_out(materialise(_parsed(spark, d), "units"))
+    return by_method.groupBy("field_name").agg(*[F.sum(c).alias(c) for c in ("n_values", "n_sure", "n_right", "n_sure_right")])
 
 
 def _nested(spark: SparkSession, d: str, *tables: str, content: bool = True) -> DataFrame:
@@ -121,4 +133,4 @@ def p5_wide(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumn("cast_failures", F.array_join(F.array_sort(F.transform(F.map_entries("cast_failures"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_harmonised, p3_found, p3_bodies, p3_fields, p3_share_classes, p3_funds, p3_errors, p3_field_results, p3_fund_lists, p3_members, p4_found, p4_report, p5_found, p5_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_harmonised, p1_inferred, p3_found, p3_bodies, p3_fields, p3_share_classes, p3_funds, p3_errors, p3_field_results, p3_fund_lists, p3_members, p4_found, p4_report, p5_found, p5_wide)}
