@@ -57,7 +57,12 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_amounts(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_spans, p8_shared)}
+def p8_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's class of copies and how many other texts it shares a stretch with."""
+    return spans.text_links(table(spark, d, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_spans, p8_shared, p8_links)}
 
 # CR LF is one break: its two characters are set apart first, as two of a private area, which keeps all lengths.
 _W, _B = "[ \t\r\n]", "(|\r|\n)"
@@ -77,6 +82,18 @@ from sized where length(c) + t > 2000""",
 with w as (select distinct doc_id, hash(substring(text, i::int, 200)) as h from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)),
 shared as (select h from w group by h having count(*) > 1), held as (select w.* from w join shared using (h))
 select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from held a join held b using (h) where a.doc_id < b.doc_id""",
+    "p8_links": """
+with c as (select doc_id, text, case when text is null then doc_id else min(doc_id) over (partition by text) end as class_id from documents),
+w as (select distinct doc_id, hash(substring(text, i::int, 200)) as h from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from c where doc_id = class_id and length(text) >= 200)),
+shared as (select h from w group by h having count(*) > 1), held as (select w.* from w join shared using (h)),
+n as (select a.doc_id as class_id, count(distinct b.doc_id) as n from held a join held b using (h) where a.doc_id <> b.doc_id group by 1)
+select doc_id, class_id, coalesce(n, 0) as n_links from c left join n using (class_id)""",
+    "p8_spans": """
+with w as (select doc_id, i::int as i, hash(substring(text, i::int, 200)) as h from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)),
+shared as (select h from w group by h having min(doc_id) < max(doc_id)), held as (select w.* from w join shared using (h)),
+hit as (select a.doc_id as doc_id_a, b.doc_id as doc_id_b, a.i as x, b.i as y from held a join held b using (h) where a.doc_id < b.doc_id),
+run as (select *, x - row_number() over (partition by doc_id_a, doc_id_b, y - x order by x) as r from hit)
+select doc_id_a, doc_id_b, (min(x) - 1)::int as start_a, (min(y) - 1)::int as start_b, (count(*) + 199)::int as length from run group by doc_id_a, doc_id_b, y - x, r""",
     "p8_shared": """
 with w as (select doc_id, i::int as i, hash(substring(text, i::int, 200)) as h from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)),
 shared as (select h from w group by h having min(doc_id) < max(doc_id)),

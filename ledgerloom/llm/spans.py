@@ -9,6 +9,13 @@ stretch select the same window hashes in it when each takes the least hash of ev
 texts that share a selected hash can have a hit (the selected windows are some 2 in 100). And a selected hash tells which
 phases of the block grid its holders have, hence which windows around it can meet a block at all. What is
 left out by either cannot hit, so nothing is lost; hashes only nominate, the extension compares characters.
+
+A stretch of period g (a run of blanks, a dotted line) selects a window every g characters, all with one hash; joined as they are
+they would make the square of its length, and of the number of texts with such a run. For g up to half a block only the first and the last of such a
+chain are kept, and a text's `least`-windows that are periodic throughout, g of them at most however long the run, stand for the
+rest: a common stretch inside the run has such a window in both texts; one that reaches out of it holds the chain's last (or
+first) window in both. First and last windows of chains are matched with each other directly, with the character beside them; against
+other windows they are reference blocks. In the same way a block or window whose surroundings recur in the text is taken once.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.workspace import materialise
@@ -90,6 +97,57 @@ def selected_windows(codes: np.ndarray, ends: np.ndarray, size: int) -> tuple[np
     return at, h[at]
 
 
+#: What a pick is: a window of its own, an end of a chain (a block only), or a hash that is matched with its like.
+SINGLE, CHAIN, DIRECT = 0, 1, 2
+_LEFT, _RIGHT, _WHOLE = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03))
+
+
+def _keyed(h: np.uint64 | np.ndarray, salt: np.uint64, more: int = 0) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(np.atleast_1d(h).astype(np.uint64) ^ (salt * np.uint64(2 * more + 1)))
+
+
+def chain_picks(codes: np.ndarray, at: np.ndarray, h: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int, least: int) -> tuple[np.ndarray, ...]:
+    """The picks of texts laid end to end from their selected windows: (position, hash, kind, length), chains cut down to what stands for them.
+
+    begin, end: of the text of each window. A chain is a row of equal windows, each the same distance of at most half a block from the next.
+    """
+    near = (size + 1) // 2
+    gap = np.diff(at)
+    linked = (h[1:] == h[:-1]) & (begin[1:] == begin[:-1]) & (gap <= near)
+    step = np.where(linked, gap, 0)
+    before, after = np.concatenate([[0], step]), np.concatenate([step, [0]])
+    single = (before == 0) & (after == 0)
+    chain = ~single & (before != after)  # an end of a chain, or where two of different steps meet
+    pos, key, kind, length = [at[single], at[chain]], [h[single], h[chain]], [np.zeros(single.sum(), np.int32), np.full(chain.sum(), CHAIN, np.int32)], [np.full(single.sum() + chain.sum(), size)]
+    firsts = np.flatnonzero((after != 0) & (before != after))
+    lasts = np.flatnonzero((before != 0) & (before != after))
+    more: list[tuple[int, int, int]] = []  # position, hash, length
+    for i, j in zip(firsts, lasts):  # chains in order: each has one first and one last
+        g, first, last, lo, hi = int(after[i]), int(at[i]), int(at[j]), int(begin[i]), int(end[i])
+        if first > lo:
+            more.append((first, int(_keyed(h[i], _LEFT, int(codes[first - 1]))[0]), last + size - first))
+        if last + size < hi:
+            more.append((last, int(_keyed(h[j], _RIGHT, int(codes[last + size]))[0]), size))
+        # The run is the chain and under one step on each side; one of `least` characters has all its windows of that kind selected.
+        left = codes[max(lo, first - g + 1) : first] == codes[max(lo, first - g + 1) + g : first + g]
+        u = first - (len(left) if left.all() else int((~left[::-1]).argmax()))
+        tail = min(hi, last + size + g - 1)
+        right = codes[last + size : tail] == codes[last + size - g : tail - g]
+        v = last + size + (len(right) if right.all() else int((~right).argmax()))
+        whole = min(g, v - u - least + 1)
+        if whole > 0:
+            hashes = _keyed(window_hashes(codes[u : u + whole - 1 + least], least), _WHOLE)
+            more += [(u + k, int(x), v - u - k) for k, x in enumerate(hashes)]
+    if more:
+        p, k, n = zip(*more)
+        pos.append(np.array(p))
+        key.append(np.array(k, np.uint64))
+        kind.append(np.full(len(more), DIRECT, np.int32))
+        length.append(np.array(n))
+    return np.concatenate(pos), np.concatenate(key), np.concatenate(kind), np.concatenate(length)
+
+
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Runs of texts of about AT_ONCE characters."""
     start, total = 0, 0
@@ -102,7 +160,10 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _select(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+PICKS = "fp bigint, doc_id bigint, pos int, kind int, length int"
+
+
+def _select(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
         for i, j in _groups(texts):
@@ -111,8 +172,10 @@ def _select(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             ends = np.cumsum(lengths)
             at, h = selected_windows(codes, np.repeat(ends, lengths), size)
             own = np.searchsorted(ends, at, side="right")
+            at, h, kind, length = chain_picks(codes, at, h, (ends - lengths)[own], ends[own], size, least)
+            own = np.searchsorted(ends, at, side="right")
             pos = at - (ends - lengths)[own]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[i:j][own], pa.int64()), pa.array(pos, pa.int32())], names=["fp", "doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[i:j][own], pa.int64()), pa.array(pos, pa.int32()), pa.array(kind, pa.int32()), pa.array(length, pa.int32())], names=["fp", "doc_id", "pos", "kind", "length"])
 
 
 def _bits(lo: int, hi: int, half: int) -> list[int]:
@@ -123,34 +186,75 @@ PARTS = "kind int, hash bigint, doc_id bigint, pos int, text string"
 BLOCK, WINDOW, REGION = 0, 1, 2
 
 
-def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Of each text: the reference blocks and the probing windows around its shared hashes, and the text around them."""
+def _once(places: np.ndarray, h: np.ndarray, text: str, size: int, reach: int) -> np.ndarray:
+    """Of the places with one hash and the same `reach` characters on both sides, the first."""
+    _, first, n = np.unique(h[places], return_index=True, return_counts=True)
+    if (n == 1).all():
+        return places
+    seen: set[tuple[str, str]] = set()
+    kept = []
+    for p in places.tolist():
+        around = (text[max(0, p - reach) : p], text[p : p + size + reach])
+        if around not in seen:
+            seen.add(around)
+            kept.append(p)
+    return np.array(kept, np.int64)
+
+
+def _anchors(h: np.ndarray, text: str, hits: list[dict], size: int, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The blocks, windows and directly matched hashes of a text: (kind, positions, hashes)."""
     half = -(-size // 2)
+    direct = [x for x in hits if x["kind"] == DIRECT]
+    if direct:
+        pos, key = np.array([x["pos"] for x in direct]), np.array([x["fp"] for x in direct], np.int64)
+        yield BLOCK, pos, key
+        yield WINDOW, pos, key
+    near = np.array(sorted(x["pos"] for x in hits if x["kind"] != DIRECT), np.int64)
+    if not len(near):
+        return
+    first = -(-np.maximum(0, near - size) // size) * size
+    blocks = (first[:, None] + np.arange(3) * size).ravel()
+    blocks = np.unique(blocks[(blocks <= np.repeat(near + size, 3)) & (blocks < len(h))])
+    wanted = np.zeros(len(h), bool)
+    by_phases: dict[tuple[int, int], list[int]] = {}
+    for x in hits:
+        if x["kind"] == SINGLE:
+            by_phases.setdefault((x["lo"], x["hi"]), []).append(x["pos"])
+    for (lo, hi), places in by_phases.items():
+        phases = np.array(_bits(lo, hi, half), np.int64)
+        shifts = np.concatenate([-phases, size - phases, [-size] if (phases == 0).any() else []]).astype(np.int64)
+        at = (np.array(places, np.int64)[:, None] + shifts).ravel()
+        wanted[at[(at >= 0) & (at < len(h))]] = True
+    for kind, places in ((BLOCK, blocks), (WINDOW, np.flatnonzero(wanted))):
+        places = _once(places, h, text, size, least - size)
+        yield kind, places, h[places]
+
+
+def _parts(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Of each text: the reference blocks and the probing windows around its shared hashes, and the text around them."""
+    reach = least - size
     for b in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], []]
+        regions: list[list] = [[], [], []]
         for doc, text, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-            h = window_hashes(codes, size).view(np.int64)
-            blocks, windows, spans = set(), set(), []
-            for hit in sorted(hits, key=lambda x: x["pos"]):
-                p = hit["pos"]
-                first = -(-max(0, p - size) // size) * size
-                blocks.update(range(first, min(p + size, len(h) - 1) + 1, size))
-                for phase in _bits(hit["lo"], hit["hi"], half):
-                    windows.update(w for w in (p - phase - size if phase == 0 else -1, p - phase, p - phase + size) if 0 <= w < len(h))
-                if spans and p - size <= spans[-1][1]:
-                    spans[-1][1] = min(len(text), p + 2 * size)
+            h = window_hashes(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), size).view(np.int64)
+            for kind, places, hashes in _anchors(h, text, hits, size, least):
+                for col, x in zip(out, (np.full(len(places), kind, np.int32), hashes, np.full(len(places), doc, np.int64), places)):
+                    col.append(x)
+            spans: list[list[int]] = []
+            for s, e in sorted((max(0, x["pos"] - reach), min(len(text), x["pos"] + x["length"] + reach)) for x in hits):
+                if spans and s <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], e)
                 else:
-                    spans.append([max(0, p - size), min(len(text), p + 2 * size)])
-            for kind, places in ((BLOCK, blocks), (WINDOW, windows)):
-                for p in places:
-                    for col, x in zip(out, (kind, int(h[p]), doc, p, None)):
-                        col.append(x)
+                    spans.append([s, e])
             for s, e in spans:
-                for col, x in zip(out, (REGION, None, doc, s, text[s:e])):
+                for col, x in zip(regions, (doc, s, text[s:e])):
                     col.append(x)
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["kind", "hash", "doc_id", "pos", "text"])
+        n, m = sum(map(len, out[0])), len(regions[0])
+        arrays = [np.concatenate([*c, np.full(m, fill)]) if c else np.full(m, fill) for c, fill in zip(out, (REGION, 0, 0, 0))]
+        arrays[2][n:], arrays[3][n:] = regions[0], regions[1]
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int64), t) for c, t in zip(arrays, types)], pa.array([None] * n + regions[2], pa.string())], names=["kind", "hash", "doc_id", "pos", "text"])
 
 
 def block_size(least: int) -> int:
@@ -165,13 +269,13 @@ def anchor_parts(documents: DataFrame, least: int = LEAST) -> DataFrame:
     size = block_size(least)
     half = -(-size // 2)
     texts = documents.where(F.char_length("text") >= least).select(F.col("doc_id").cast("bigint"), "text")
-    picked = texts.mapInArrow(lambda it: _select(it, size), "fp bigint, doc_id bigint, pos int")
+    picked = texts.mapInArrow(lambda it: _select(it, size, least), PICKS)
     phase = F.pmod("pos", F.lit(size))
-    bit = lambda low: F.bit_or(F.when((phase >= low) & (phase < low + half if low == 0 else phase < size), F.call_function("shiftleft", F.lit(1).cast("bigint"), (phase - low).cast("int"))).otherwise(F.lit(0).cast("bigint")))
+    bit = lambda low: F.bit_or(F.when((F.col("kind") != DIRECT) & (phase >= low) & (phase < low + half if low == 0 else phase < size), F.call_function("shiftleft", F.lit(1).cast("bigint"), (phase - low).cast("int"))).otherwise(F.lit(0).cast("bigint")))
     # Counted before the shuffle too, so a hash that a third of all texts have is one row per task.
     shared = picked.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), bit(0).alias("lo"), bit(half).alias("hi")).where("a < b").select("fp", "lo", "hi")
-    hits = picked.join(shared, "fp").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "lo", "hi")).alias("hits"))
-    return materialise(texts.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(lambda it: _parts(it, size), PARTS), "anchors")
+    hits = picked.join(shared, "fp").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "pos", "kind", "length", "lo", "hi")).alias("hits"))
+    return materialise(texts.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(lambda it: _parts(it, size, least), PARTS), "anchors")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -188,8 +292,8 @@ def _region(regions: list[tuple[int, np.ndarray]], pos: int) -> tuple[int, np.nd
     return None
 
 
-def maximal_repeats(anchors: list[tuple[int, int]], left: list[tuple[int, str]], right: list[tuple[int, str]], size: int, least: int) -> list[tuple[int, int, int]]:
-    """Anchors (position in a, in b) extended to maximal exact repeats of at least `least`: (start in a, start in b, length)."""
+def maximal_repeats(anchors: list[tuple[int, int]], left: list[tuple[int, str]], right: list[tuple[int, str]], size: int, least: int, one: bool = False) -> list[tuple[int, int, int]]:
+    """Anchors (position in a, in b) extended to maximal exact repeats of at least `least`: (start in a, start in b, length). With `one` the first found."""
     code = lambda t: np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
     ra, rb = [(s, code(t)) for s, t in left], [(s, code(t)) for s, t in right]
     found: list[tuple[int, int, int]] = []
@@ -206,15 +310,19 @@ def maximal_repeats(anchors: list[tuple[int, int]], left: list[tuple[int, str]],
         done[pa_ - pb] = max(done.get(pa_ - pb, -1), pa_ + ahead)
         if ahead >= size and ahead + back >= least:
             found.append((pa_ - back, pb - back, back + ahead))
+            if one:
+                break
     return found
 
 
-def shared_spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
+def shared_spans(documents: DataFrame, least: int = LEAST, one: bool = False) -> DataFrame:
     """Maximal exact repeats of at least `least` characters between two texts: doc_id_a < doc_id_b, start_a, start_b, length.
 
     Texts are compared as stored, by characters. Null texts and texts under `least` characters have none; a text that
     was delivered under two ids is shared as a whole; a row with the same id again is the same document. Repeats within one text
-    are no case. One row per pair and repeat, as many as there are: pairs are never capped.
+    are no case. One row per pair and repeat: pairs are never capped. Where a stretch recurs within a text (a run of one
+    character, a line that is repeated), places with the same surroundings are probed once, so of the repeats of a pair that differ only in
+    which of those places they take, not all come out; every pair that has a common stretch comes out. With `one`, one row per pair.
     """
     size = block_size(least)
     parts = anchor_parts(documents, least)
@@ -233,7 +341,7 @@ def shared_spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
             out: list[list[int]] = [[], [], [], [], []]
             for r in b.to_pylist():
                 texts = [[(x["pos"], x["text"]) for x in r[side]] for side in ("left", "right")]
-                for s, t, n in maximal_repeats([(x["x"], x["y"]) for x in r["anchors"]], *texts, size, least):
+                for s, t, n in maximal_repeats([(x["x"], x["y"]) for x in r["anchors"]], *texts, size, least, one):
                     for col, v in zip(out, (r["a"], r["b"], s, t, n)):
                         col.append(v)
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
@@ -244,7 +352,21 @@ def shared_spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
 
 def sharing_pairs(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """Pairs of documents with a common stretch of at least `least` characters: doc_id_a < doc_id_b."""
-    return shared_spans(documents, least).select("doc_id_a", "doc_id_b").distinct()
+    return shared_spans(documents, least, one=True).select("doc_id_a", "doc_id_b")
+
+
+def text_links(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """One row per document: doc_id, class_id (the least doc_id with the same text), n_links (other texts it has a common stretch with).
+
+    Copies are compared once, by their class, so a large group of copies costs no pairs. A null text is a class of its own; a row with
+    the same id again repeats its row.
+    """
+    named = documents.select(F.col("doc_id").cast("bigint"), "text", F.sha2("text", 256).alias("digest"))
+    classes = named.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    members = named.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    pairs = sharing_pairs(named.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi"), least)
+    both = pairs.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("class_id"))
+    return members.join(both.groupBy("class_id").agg(F.count("*").alias("n_links")), "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _long_windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -264,13 +386,10 @@ def shared_amounts(documents: DataFrame, least: int = LEAST) -> DataFrame:
     parts = anchor_parts(documents, least).where(F.col("kind") == REGION).select("doc_id", "pos", "text")
     long = materialise(parts.mapInArrow(lambda it: _long_windows(it, least), "hash bigint, doc_id bigint, pos int"), "windows")
     held = long.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("hash")
-    marks = long.join(held, "hash", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    # Neighbouring marks overlap: each adds the distance to its predecessor, at most `least`.
-    gaps = F.transform(F.sequence(F.lit(1), F.size("at") - 1), lambda i: F.get("at", i) - F.get("at", i - 1))
-    gaps = F.when(F.size("at") > 1, gaps).otherwise(F.array().cast("array<int>"))
-    covered = F.lit(least) + F.aggregate(gaps, F.lit(0), lambda s, g: s + F.least(g, F.lit(least)))
-    spans = F.lit(1) + F.size(F.filter(gaps, lambda g: g > least))
-    amounts = marks.select("doc_id", covered.alias("shared_chars"), spans.alias("n_spans"))
+    # Neighbouring marks overlap: each adds the distance to its predecessor, at most `least`. Sorted, with spilling, not collected.
+    marks = long.join(held, "hash", "left_semi").select("doc_id", "pos", F.lag("pos").over(Window.partitionBy("doc_id").orderBy("pos")).alias("prior"))
+    gap = F.col("pos") - F.col("prior")
+    amounts = marks.groupBy("doc_id").agg(F.sum(F.coalesce(F.least(gap, F.lit(least)), F.lit(least))).cast("int").alias("shared_chars"), F.count_if(F.coalesce(gap > least, F.lit(True))).cast("int").alias("n_spans"))
     out = documents.select("doc_id", F.char_length("text").alias("n_chars")).join(amounts, "doc_id", "left")
     shared = F.coalesce("shared_chars", F.lit(0))
     return out.select("doc_id", "n_chars", shared.alias("shared_chars"), F.when(F.col("n_chars") > 0, shared / F.col("n_chars")).otherwise(0.0).alias("shared_ratio"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"))

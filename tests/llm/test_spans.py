@@ -61,6 +61,55 @@ def test_other_lengths(spark):
         assert {r["doc_id"]: r["shared_chars"] for r in spans.shared_amounts(df, least).collect() if r["shared_chars"]} == amounts
 
 
+def periodic(seed):
+    """Texts full of runs: periods 1, 2, 7, 40, 60 and 150 in several lengths and phases, cut and mixed with other text."""
+    rng = random.Random(seed)
+    word = lambda k: "".join(rng.choice("abcdefgh \n") for _ in range(k))
+    units = [".", ". ", "-=-=+- ", word(40), word(60), word(150), " "]
+    docs = []
+    for i in range(45):
+        t = word(rng.randint(0, 150))
+        for _ in range(rng.randint(1, 3)):
+            u = rng.choice(units)
+            n, at = rng.choice((99, 100, 101, 150, 198, 199, 200, 201, 205, 240, 300, 500)), rng.randrange(len(u))
+            t += (u * (n // len(u) + 2))[at : at + n] + word(rng.choice((0, 1, 20, 120)))
+        docs.append((i, t))
+    return docs
+
+
+def test_runs(spark):
+    for seed in (1, 2, 3):
+        docs = periodic(seed)
+        for least in (200, 60, 330):
+            pairs, amounts = brute(docs, least)
+            df = frame(spark, docs)
+            assert {tuple(r) for r in spans.sharing_pairs(df, least).collect()} == pairs
+            assert {r["doc_id"]: r["shared_chars"] for r in spans.shared_amounts(df, least).collect() if r["shared_chars"]} == amounts
+
+
+def test_long_runs_cost_no_squares(spark):
+    import time
+
+    rng = random.Random(5)
+    docs = [(i, "".join(rng.choice("abcdef") for _ in range(300)) + (" " * 32_000 if i % 2 else ". " * 16_000) + f"end {i}") for i in range(8)]
+    start = time.time()
+    rows = spans.shared_spans(frame(spark, docs)).collect()
+    assert {(r["doc_id_a"], r["doc_id_b"]) for r in rows} == {(a, b) for a in range(8) for b in range(8) if a < b and (b - a) % 2 == 0}
+    assert max(r["length"] for r in rows) >= 32_000 and len(rows) < 200 and time.time() - start < 60
+
+
+def test_links_by_class(spark):
+    docs = corpus(1)
+    pairs, _ = brute(docs, 200)
+    texts = defaultdict(list)
+    for i, t in docs:
+        texts[t].append(i)
+    cls = {i: (min(texts[t]) if t is not None else i) for i, t in docs}
+    want = {i: len({cls[x] for p in pairs for x in p if i in p} - {cls[i]}) for i, _ in docs}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in spans.text_links(frame(spark, docs)).collect()}
+    assert got == {i: (cls[i], want[i]) for i, _ in docs}
+
+
 def test_repeats_are_maximal(spark):
     docs = dict(corpus(3, 30))
     rows = spans.shared_spans(frame(spark, docs.items())).collect()
