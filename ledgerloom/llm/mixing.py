@@ -4,7 +4,8 @@ A mixture's size is a number of blocks of equal tokens. The blocks go to sources
 weight / (2·seats + 1), each source at most as many as its repeats allow; the same rule then splits a source's blocks over
 its shards by their tokens. A shard's quota is whole passes over its documents and, for the rest, the first blocks
 of a seeded order. The division is found by its price (seats = weight / price, rounded), not by handing out
-seats one at a time, so it costs the same for any size.
+seats one at a time, so it costs the same for any size. Documents stay whole, so the last block of a shard is met by the document that
+fits it best.
 """
 
 from __future__ import annotations
@@ -88,21 +89,15 @@ def sized_documents(documents: DataFrame, shards: int = SHARDS, seed: int = 17,
     return materialise(sized.withColumns({"place": draw, "shard": F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(shards)).cast("int")}), "sized")
 
 
-def mix(sized: DataFrame, targets: DataFrame, block: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """The documents of every mixture: plan_id, source, doc_id, copies, n_tokens.
+def apportion(sized: DataFrame, targets: DataFrame, block: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Each plan's quota of each shard: plan_id, source, shard, n_shards (of the source), shard_tokens, passes, part (tokens beyond whole passes).
 
-    sized: from `sized_documents`; targets: plan_id, source, target_share, max_repeats, budget_ratio (a small
-    table). A plan's size is budget_ratio times the tokens of all documents, of any source. A source that cannot fill
-    its share within max_repeats leaves the rest to the others in their proportions, as long as they can; a source
-    without documents takes no part. No document occurs more than max_repeats times; a row of `sized` that is repeated
-    counts as another document. Documents without tokens come with the whole passes only. Of the boundary document of
-    a partial pass, the midpoint decides, so quotas are met to half a document per shard.
+    The rows are (plans × sources named × shards), a bound that the parameters set, not the data; so are the totals that reach the driver.
     """
     spark = sized.sparkSession
-    # At most (sources named in the targets) × (shards) rows reach the driver.
     named = targets.select(source_key(F.col("source")).alias("source")).distinct()
     fine = [tuple(r) for r in sized.join(F.broadcast(named), "source").groupBy("source", "shard").agg(F.sum("n_tokens")).collect()]
-    # Small sources have few shards, so that the half document by which a shard may miss its quota stays small against it.
+    # Small sources have few shards, so that what a shard may miss its quota by stays small against it.
     shards: dict[str, int] = {}
     for source, _, tokens in fine:
         shards[source] = shards.get(source, 0) + tokens
@@ -115,23 +110,48 @@ def mix(sized: DataFrame, targets: DataFrame, block: int = BLOCK_TOKENS, shard_t
     plans: dict[str, tuple[float, list[tuple[str, float, int]]]] = {}
     for r in targets.select("plan_id", source_key(F.col("source")).alias("source"), "target_share", "max_repeats", "budget_ratio").orderBy("plan_id", "source").collect():
         plans.setdefault(r["plan_id"], (r["budget_ratio"] or 0.0, []))[1].append((r["source"], r["target_share"] or 0.0, r["max_repeats"] or 0))
-    rows = [(p, *q) for p, (ratio, plan) in plans.items() for q in quotas(totals, plan, round(ratio * everything), block)]
-    quota = spark.createDataFrame(rows, "plan_id string, source string, shard int, passes int, part bigint")
-    order = Window.partitionBy("source", "shard").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n_shards = spark.createDataFrame(list(shards.items()), "source string, n_shards int")
-    placed = sized.join(F.broadcast(n_shards), "source").withColumn("shard", F.pmod("shard", "n_shards")).withColumn("upto", F.sum("n_tokens").over(order))
-    # The quotas have a row per plan, source and shard: a bound that the parameters set, not the data.
-    chosen = placed.join(F.broadcast(quota), ["source", "shard"])
-    extra = (F.col("n_tokens") > 0) & (F.col("upto") - F.col("n_tokens") / 2 < F.col("part"))
-    copies = F.col("passes") + F.when(extra, 1).otherwise(0)
-    return chosen.select("plan_id", "source", "doc_id", copies.cast("int").alias("copies"), "n_tokens").where("copies > 0")
+    rows = [(p, s, k, shards[s], merged[s, k], n, part) for p, (ratio, plan) in plans.items() for s, k, n, part in quotas(totals, plan, round(ratio * everything), block)]
+    return spark.createDataFrame(rows, "plan_id string, source string, shard int, n_shards int, shard_tokens bigint, passes int, part bigint")
 
 
-def reached_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """What each plan's sources reached: plan_id, source, target_share, actual_share, tokens, n_documents, most_copies."""
+def mix(sized: DataFrame, quota: DataFrame) -> DataFrame:
+    """The documents of every mixture: plan_id, source, doc_id, copies, n_tokens.
+
+    sized: from `sized_documents`; quota: from `apportion`. A plan's size is budget_ratio times the tokens of all documents, of any
+    source. A source that cannot fill its share within max_repeats leaves the rest to the others in their proportions, as long as
+    they can; a source without documents takes no part. No document occurs more than max_repeats times; a row of `sized` that is
+    repeated counts as another document. Documents without tokens come with the whole passes only. A partial pass is the longest
+    run of the shard's seeded order that its quota holds, and of the documents after it the one whose size comes nearest to what is left, if
+    it comes nearer than none; so the miss is a fraction of a document.
+    """
+    n_shards = quota.select("source", "n_shards").distinct()
+    order = Window.partitionBy("source", "shard").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sized.join(F.broadcast(n_shards), "source").withColumn("shard", F.pmod("shard", "n_shards")).withColumn("upto", F.sum("n_tokens").over(order))
+    at = ["plan_id", "source", "shard"]
+    chosen = placed.join(F.broadcast(quota.select(*at, "passes", "part")), ["source", "shard"])
+    tokens, within = F.col("n_tokens") > 0, F.col("upto") <= F.col("part")
+    # What the run leaves, and the document beyond it that fits that best: one row per quota.
+    run = F.coalesce(F.max(F.when(within, F.col("upto"))), F.lit(0))
+    left = chosen.where("part > 0").groupBy(*at).agg((F.first("part") - run).alias("left"))
+    beyond = chosen.where(tokens & ~within & (F.col("part") > 0)).join(F.broadcast(left), at)
+    miss = F.abs(F.col("n_tokens") - F.col("left"))
+    best = beyond.where(miss < F.col("left")).groupBy(*at).agg(F.min(F.struct(miss.alias("miss"), "upto", "doc_id")).alias("best")).select(*at, "best.upto", F.col("best.doc_id").alias("doc_id"), F.lit(True).alias("fits"))
+    picked = chosen.join(F.broadcast(best), [*at, "upto", "doc_id"], "left")
+    copies = F.col("passes") + F.when(tokens & (within | F.coalesce("fits", F.lit(False))), 1).otherwise(0)
+    return picked.select("plan_id", "source", "doc_id", copies.cast("int").alias("copies"), "n_tokens").where("copies > 0")
+
+
+def reached_shares(mixed: DataFrame, targets: DataFrame, quota: DataFrame) -> DataFrame:
+    """What each plan's sources reached: plan_id, source, target_share, actual_share, quota_tokens, tokens, n_documents, most_copies, has_room.
+
+    `quota_tokens` is what the apportionment gave the source; `has_room` that it gave less than the source has within its repeats.
+    """
     got = mixed.groupBy("plan_id", "source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"), F.count("*").alias("n_documents"), F.max("copies").alias("most_copies"))
-    want = targets.select("plan_id", source_key(F.col("source")).alias("source"), "target_share")
-    both = F.broadcast(want).join(got, ["plan_id", "source"], "left")
-    tokens = F.coalesce("tokens", F.lit(0))
+    given = quota.groupBy("plan_id", "source").agg(F.sum(F.col("passes") * F.col("shard_tokens") + F.col("part")).alias("quota_tokens"), F.sum("shard_tokens").alias("have"))
+    want = targets.select("plan_id", source_key(F.col("source")).alias("source"), "target_share", "max_repeats")
+    both = F.broadcast(want).join(got, ["plan_id", "source"], "left").join(F.broadcast(given), ["plan_id", "source"], "left")
+    zero = F.lit(0).cast("bigint")
+    tokens, quota_tokens = F.coalesce("tokens", zero), F.coalesce("quota_tokens", zero)
     share = tokens / F.nullif(F.sum(tokens).over(Window.partitionBy("plan_id")), F.lit(0))
-    return both.select("plan_id", "source", "target_share", F.coalesce(share, F.lit(0.0)).alias("actual_share"), tokens.alias("tokens"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
+    room = F.coalesce(F.col("quota_tokens") < F.col("have") * F.col("max_repeats"), F.lit(False))
+    return both.select("plan_id", "source", "target_share", F.coalesce(share, F.lit(0.0)).alias("actual_share"), quota_tokens.alias("quota_tokens"), tokens.alias("tokens"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), room.alias("has_room"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import mixing, spans, split, tokenise
 from ledgerloom.sources.tables import table
@@ -22,14 +23,21 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, rest_of_title=True)
 
 
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of the pieces of every chunk: no character lost, none too long, each joined to its predecessor."""
+    return split.coverage(_pieces(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenise.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
 
-def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     targets = table(spark, d, "mix_targets")
-    return mixing.mix(mixing.sized_documents(table(spark, d, "documents", "doc_id", "text", "source")), targets), targets
+    sized = mixing.sized_documents(table(spark, d, "documents", "doc_id", "text", "source"))
+    quota = mixing.apportion(sized, targets)
+    return mixing.mix(sized, quota), targets, quota
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -38,10 +46,19 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    """The shares really reached."""
+    """The shares really reached, beside those apportioned."""
     return mixing.reached_shares(*_mixed(spark, d))
 
 
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of every source of every plan: repeats within the cap, and its apportioned tokens met to one block or a hundredth."""
+    mixed, targets, quota = _mixed(spark, d)
+    got = mixing.reached_shares(mixed, targets, quota)
+    caps = targets.select("plan_id", mixing.source_key(F.col("source")).alias("source"), "max_repeats")
+    near = F.abs(F.col("tokens") - F.col("quota_tokens")) <= F.greatest(F.lit(mixing.BLOCK_TOKENS), F.col("quota_tokens") / 100)
+    return got.join(F.broadcast(caps), ["plan_id", "source"]).select("plan_id", "source", "target_share", (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), near.alias("quota_met"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents with a long common stretch."""
     return spans.sharing_pairs(table(spark, d, "documents", "doc_id", "text"))
@@ -62,7 +79,7 @@ def p8_links(spark: SparkSession, d: str) -> DataFrame:
     return spans.text_links(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_spans, p8_shared, p8_links)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_coverage, p6_ids, p7_mixture, p7_shares, p7_kept, p8_found, p8_spans, p8_shared, p8_links)}
 
 # CR LF is one break: its two characters are set apart first, as two of a private area, which keeps all lengths.
 _W, _B = "[ \t\r\n]", "(|\r|\n)"
@@ -78,6 +95,8 @@ SQL: dict[str, str] = {
 with sized as (select chunk_id, replace(coalesce(content, ''), chr(13) || chr(10), '{chr(0xE000)}{chr(0xE001)}') as c, coalesce(length(section_title) + 1, 0) as t from chunks)
 select chunk_id, case {" ".join(f"when list_max(list_transform({x}, lambda s: length(s))) <= 2000 - t then '{k}'" for k, x in _STRETCHES.items())} else 'none' end as boundary
 from sized where length(c) + t > 2000""",
+    "p2_coverage": r"select chunk_id, length(regexp_replace(coalesce(content, ''), '[ \t\r\n]', '', 'g'))::bigint as n_letters, true as fits, true as overlaps from chunks",
+    "p7_kept": r"select plan_id, regexp_replace(lower(trim(source)), '[ -]+', '_', 'g') as source, target_share, true as within_cap, true as quota_met from mix_targets",
     "p8_found": """
 with w as (select distinct doc_id, hash(substring(text, i::int, 200)) as h from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)),
 shared as (select h from w group by h having count(*) > 1), held as (select w.* from w join shared using (h))

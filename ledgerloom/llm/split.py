@@ -8,7 +8,7 @@ overlap is a lookback from each offset.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.once import computed_once
@@ -38,7 +38,7 @@ def cutting_pattern(room: Column, overlap: int) -> Column:
 
     `room` is the most that a piece can hold; with less than twice the overlap, half of the room goes to it.
     """
-    spare = F.greatest(F.lit(1), F.when(room > 2 * overlap, room - overlap - 4).otherwise(F.floor(room / 2))).cast("int").cast("string")
+    spare = F.greatest(F.lit(1), F.when(room > 2 * overlap, room - overlap).otherwise(F.floor(room / 2))).cast("int").cast("string")
     full = room.cast("string")
     parts = []
     for kind in KINDS:
@@ -91,7 +91,8 @@ def split_chunks(chunks: DataFrame, limit: int = 2000, overlap: int = 200, key:
     df = computed_once(df, {"room": room, "boundary": F.when(over, needed), "taken": F.when(over, taken)})
     # A match begins with the white space after its predecessor; its end is the sum of the lengths so far.
     df = computed_once(df, {"lens": F.transform("taken", F.char_length), "lead": F.transform("taken", lambda x: F.char_length(x) - F.char_length(F.regexp_replace(x, rf"^{WS}+", "")))})
-    df = computed_once(df, {"ends": F.transform("lens", lambda _, i: F.aggregate(F.slice("lens", 1, i + 1), F.lit(0), lambda a, x: a + x))})
+    none = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("ends"))
+    df = computed_once(df, {"ends": F.aggregate("lens", none, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["ends"], a["sum"] + x).alias("ends")), lambda a: a["ends"])})
 
     def cut(end: Column, i: Column) -> Column:
         own = F.get("lens", i) - F.get("lead", i)
@@ -119,6 +120,16 @@ def split_chunks(chunks: DataFrame, limit: int = 2000, overlap: int = 200, key:
     return df.select(key, "c.piece_index", "n_pieces", "boundary", "c.char_start", "c.char_end", "c.overlap", piece.alias("piece"))
 
 
+def coverage(pieces: DataFrame, limit: int = 2000, key: str = "chunk_id") -> DataFrame:
+    """What can be said of the pieces of every chunk: key, n_letters (characters of content that are no white space, each counted once), fits (all are
+    within the limit), overlaps (all but the first begin where the predecessor ended, less the overlap, or after white space)."""
+    own = F.right("piece", F.col("char_end") - F.col("char_start") - F.col("overlap"))
+    before = F.lag("char_end").over(Window.partitionBy(key).orderBy("piece_index"))
+    begins = F.when(F.col("overlap") > 0, F.col("char_start") + F.col("overlap") == before).otherwise(F.col("char_start") >= before)
+    rows = pieces.select(key, F.char_length(F.regexp_replace(own, WS, "")).alias("n"), (F.char_length("piece") <= limit).alias("fit"), F.coalesce(begins, F.lit(True)).alias("lap"))
+    return rows.groupBy(key).agg(F.sum("n").alias("n_letters"), F.min(F.coalesce("fit", F.lit(True))).alias("fits"), F.min("lap").alias("overlaps"))
+
+
 def oversized(pieces: DataFrame, key: str = "chunk_id") -> DataFrame:
     """The chunks that were too large, with the boundary that each needs."""
     return pieces.where("piece_index = 0 and boundary is not null").select(key, "boundary")

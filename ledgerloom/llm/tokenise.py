@@ -21,9 +21,12 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.workspace import ship_package
+
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces a worker remembers; some 100 bytes each.
 REMEMBERED = 300_000
@@ -154,10 +157,21 @@ class Encoder:
         return out
 
 
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship_vocabulary(spark: SparkSession, path: str) -> None:
+    """Hand the driver's vocabulary file to the executors, once per application, so that no machine needs a copy of its own."""
+    at = (spark.sparkContext.applicationId, path)
+    if at not in _shipped:
+        spark.sparkContext.addFile(path)
+        _shipped.add(at)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """The encoder of this worker."""
-    return Encoder(path)
+    """The encoder of this worker, from the file that `ship_vocabulary` sent."""
+    return Encoder(SparkFiles.get(Path(path).name))
 
 
 def _lists(texts: pa.ChunkedArray | pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -180,6 +194,8 @@ def encode_corpus(documents: DataFrame, vocabulary: str | None = None, text: str
     stream through the workers in Arrow batches.
     """
     path = vocabulary or vocabulary_path()
+    ship_package(documents.sparkSession)
+    ship_vocabulary(documents.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,6 +213,8 @@ def encode_corpus(documents: DataFrame, vocabulary: str | None = None, text: str
 def token_counts(documents: DataFrame, *keep: str | Column, vocabulary: str | None = None, text: str = "text") -> DataFrame:
     """The columns `keep` and `n_tokens` of every text; 0 for null and empty ones."""
     path = vocabulary or vocabulary_path()
+    ship_package(documents.sparkSession)
+    ship_vocabulary(documents.sparkSession, path)
     rows = documents.select(F.col(text).cast("string").alias("__text"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]) + ", n_tokens int"
 

@@ -39,9 +39,10 @@ def sized(spark):
 
 def test_shares_and_caps(spark, sized):
     targets = spark.createDataFrame([("p", "big", 0.5, 1, 0.4), ("p", "mid", 0.3, 2, 0.4), ("p", "tiny_src", 0.2, 3, 0.4), ("p", "gone", 0.1, 9, 0.4), ("q", "mid", 1.0, 4, 0.1)], "plan_id string, source string, target_share double, max_repeats int, budget_ratio double")
-    mixed = mixing.mix(sized, targets, block=64, shard_tokens=4096).cache()
+    quota = mixing.apportion(sized, targets, block=64, shard_tokens=4096)
+    mixed = mixing.mix(sized, quota).cache()
     total = sized.agg({"n_tokens": "sum"}).first()[0]
-    shares = {(r["plan_id"], r["source"]): r for r in mixing.reached_shares(mixed, targets).collect()}
+    shares = {(r["plan_id"], r["source"]): r for r in mixing.reached_shares(mixed, targets, quota).collect()}
     caps = {("p", "big"): 1, ("p", "mid"): 2, ("p", "tiny_src"): 3, ("q", "mid"): 4}
     for r in mixed.collect():
         assert 1 <= r["copies"] <= caps[r["plan_id"], r["source"]]
@@ -49,7 +50,9 @@ def test_shares_and_caps(spark, sized):
     assert abs(shares["q", "mid"]["tokens"] / (0.1 * total) - 1) < 0.05 and shares["q", "mid"]["actual_share"] == 1.0
     assert abs(sum(r["tokens"] for k, r in shares.items() if k[0] == "p") / (0.4 * total) - 1) < 0.05
     assert abs(shares["p", "big"]["tokens"] / shares["p", "mid"]["tokens"] - 5 / 3) < 0.1
-    again = mixing.mix(sized, targets, block=64, shard_tokens=4096)
+    assert all(abs(r["tokens"] - r["quota_tokens"]) <= 64 for r in shares.values())
+    assert not shares["p", "tiny_src"]["has_room"] and shares["p", "big"]["has_room"]
+    again = mixing.mix(sized, mixing.apportion(sized, targets, block=64, shard_tokens=4096))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mixed.collect()))
 
 
@@ -62,6 +65,6 @@ def test_sources_under_a_block_take_part():
 
 def test_empty(spark, sized):
     none = spark.createDataFrame([], "plan_id string, source string, target_share double, max_repeats int, budget_ratio double")
-    assert mixing.mix(sized, none).count() == 0
+    assert mixing.mix(sized, mixing.apportion(sized, none)).count() == 0
     some = spark.createDataFrame([("p", "big", 0.5, 1, 0.4)], none.schema)
-    assert mixing.mix(sized.limit(0), some).count() == 0
+    assert mixing.mix(sized.limit(0), mixing.apportion(sized.limit(0), some)).count() == 0
