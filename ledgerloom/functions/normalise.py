@@ -5,26 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import states_nothing, stated, trimmed, words_to_number
+from ledgerloom.functions.synonyms import VALUES
+from ledgerloom.functions.text import NUMBER_WORDS, SCALE_WORDS, stated, trimmed
 
-# What a suffix multiplies by.
-MULTIPLIERS = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mm": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9}
+# Single words and phrases that stand for a number, besides those of `text.NUMBER_WORDS` and `text.SCALE_WORDS`.
+OTHER_NUMBER_WORDS = {"first": 1, "second": 2, "third": 3, "fourth": 4, "fifth": 5, "half": 0.5, "quarter": 0.25}
+NUMBER_PHRASES = {"a year": 1, "one year": 1, "two years": 2, "three years": 3}
+# What a text multiplies its number by if it ends so.
+MULTIPLIERS = {"million|mm|m": 1e6, "billion|b": 1e9, "thousand|k": 1e3}
+
+
+def _lookup(table: dict[str, float], c: Column) -> Column:
+    return F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, float(v))])[c]
+
+
+def word_number(c: Column) -> Column:
+    """The number that a whole text is in words, as DOUBLE (SC-01): a word, tens and ones, a multiple, or hundreds and a word; else null."""
+    words = NUMBER_WORDS | SCALE_WORDS | OTHER_NUMBER_WORDS
+    low = F.lower(trimmed(c))
+    parts = F.split(low, r"[\s-]+")
+    a, b, last = (_lookup(words, F.get(parts, F.lit(i))) for i in range(3))
+    two = F.when((a >= 20) & (a < 100) & (b < 10), a + b).when(b.isin(*[float(x) for x in SCALE_WORDS.values()]), a * b)
+    three = F.when(F.get(parts, F.lit(1)) == "hundred", a * 100 + last)
+    return F.coalesce(_lookup(words | NUMBER_PHRASES, low), F.when(F.size(parts) == 2, two).when(F.size(parts) == 3, three))
 
 
 def numeric_text(c: Column) -> Column:
-    """The number that a text states, as DOUBLE (SC-02): `$2.5 million`, `1,000`, `5%`, `10-15` (the first), `twenty-five`."""
-    s = F.regexp_replace(F.lower(trimmed(stated(c))), r"^[$€£]\s*|(?<=[0-9]),(?=[0-9]{3})", "")
-    plain = F.regexp_extract(s, r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))\s*(%|percent|per cent|k|thousand|mm|m|million|bn|b|billion)?\s*(?:$|[-–]|to\b)", 1)
-    suffix = F.regexp_extract(s, r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)\s*(k|thousand|mm|million|m|bn|billion|b)\b", 1)
-    factor = F.coalesce(F.create_map(*[F.lit(x) for kv in MULTIPLIERS.items() for x in kv])[suffix], F.lit(1.0))
-    any_number = F.regexp_extract(s, r"([0-9]+(?:\.[0-9]+)?)", 1)
-    words = F.when(s.rlike(r"^[a-z]+(?:[ -][a-z]+)*$"), words_to_number(s).cast("double"))
-    return F.coalesce(F.nullif(plain, F.lit("")).try_cast("double") * factor, words, F.nullif(any_number, F.lit("")).try_cast("double"))
+    """The number that a text states, as DOUBLE (SC-02): `$2.5 million`, `1,000`, `5%`, `10-15` (the first), `twenty-five`.
+
+    Words count only if they are the whole text (`one month` is no number); digits count wherever they stand first.
+    """
+    s = trimmed(stated(c))
+    bare = F.regexp_replace(F.regexp_replace(s, r"(?i)^(?:\$\s*)?(?:€\s*)?(?:£\s*)?(?:USD\s*)?(?:US\$\s*)?", ""), r"(?i)(?:\s*dollars?)?(?:\s*USD)?$", "")
+    ends = {rf"\s*({p})\s*$": f for p, f in MULTIPLIERS.items()}
+    factor = F.coalesce(*[F.when(bare.rlike(f"(?i){p}"), f) for p, f in ends.items()], F.lit(1.0))
+    cut = F.coalesce(*[F.when(bare.rlike(f"(?i){p}"), F.regexp_replace(bare, p, "")) for p in ends], bare)
+    plain = F.trim(F.regexp_replace(cut, "[,%]", ""))
+    first = F.coalesce(F.nullif(F.regexp_extract(plain, r"(?i)^([0-9.]+)(?:\s*[-–—]\s*|\s+to\s+)[0-9.]+", 1), F.lit("")), plain)
+    number = F.when(first.rlike(r"^[+-]?(?:[0-9]+|(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)$"), first).try_cast("double")
+    anywhere = F.nullif(F.regexp_replace(F.regexp_extract(s, r"([0-9,]+\.?[0-9]*)", 1), ",", ""), F.lit("")).try_cast("double")
+    return F.coalesce(word_number(s), number * factor, anywhere * factor)
 
 
 def mapped(c: Column, synonyms: dict[str, str]) -> Column:
-    """A canonical value: an exact synonym, else the first that the text contains, else the text (SC-20..23)."""
-    low = F.lower(trimmed(c))
+    """A canonical value: an exact synonym, else the first that the text contains, else the text (SC-20..23). Underscores count as blanks."""
+    low = F.regexp_replace(F.lower(trimmed(c)), "_", " ")
     exact = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])[low]
     inside = F.coalesce(*[F.when(F.contains(low, F.lit(k)), v) for k, v in synonyms.items()])
     return F.coalesce(exact, inside, c)
@@ -57,16 +82,24 @@ def frequency_rates(rate: Column, frequency: Column) -> Column:
     return F.struct(F.round(F.when(quarterly, rate * 4).otherwise(rate), 4).alias("annual"), F.round(F.when(quarterly, rate).otherwise(rate / 4), 4).alias("quarterly"))
 
 
-def values_match(got: Column, want: Column, tolerance: Column | float = 0.01, numbers: tuple[Column, Column] | None = None) -> Column:
-    """Whether two texts state the same (SC-06, SC-44): nothing against nothing or a no, numbers within the tolerance, else the same letters.
+def comparable(c: Column) -> Column:
+    """What a text is compared by (SC-04, SC-06): struct(text, number). A synonym's canonical value has no number; nothing stated has neither."""
+    low = F.lower(trimmed(stated(c)))
+    canonical = F.create_map(*[F.lit(x) for kv in VALUES.items() for x in kv])[low]
+    return F.struct(F.coalesce(canonical, low).alias("text"), F.when(canonical.isNull(), numeric_text(c)).alias("number"))
+
+
+def values_match(got: Column, want: Column, tolerance: Column | float = 0.01, held: tuple[Column, Column] | None = None) -> Column:
+    """Whether two texts state the same (SC-06, SC-44): nothing against nothing or false, a wanted number within the tolerance, else the same letters.
 
-    `numbers` are their `numeric_text`s, if the caller has computed them.
+    `held` are their `comparable`s, if the caller has computed them.
     """
-    a, b = numbers or (numeric_text(got), numeric_text(want))
-    low = lambda c: F.lower(trimmed(c))
-    no = lambda c: states_nothing(c) | low(c).isin("false", "no")
+    a, b = held or (comparable(got), comparable(want))
     limit = F.lit(tolerance) if isinstance(tolerance, float) else tolerance
-    return F.when(states_nothing(got) | states_nothing(want), no(got) & no(want)).when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= limit + 1e-12).otherwise(low(got) == low(want))
+    none = a["text"].isNull() | b["text"].isNull()
+    lax = F.coalesce(a["text"], F.lit("false")) == F.coalesce(b["text"], F.lit("false"))
+    near = F.coalesce(F.abs(a["number"] - b["number"]) <= limit + 1e-12, F.lit(False))
+    return F.when(none, lax & F.coalesce(a["text"], b["text"], F.lit("false")).isin("false")).when(b["number"].isNotNull(), near).otherwise(a["number"].isNull() & (a["text"] == b["text"]))
 
 
 def lists_match(got: Column, want: Column, mode: Column) -> Column:

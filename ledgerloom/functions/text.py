@@ -18,7 +18,7 @@ NUMBER_WORDS = {
     "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50,
     "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90,
 }
-SCALE_WORDS = {"hundred": 100, "thousand": 1000}
+SCALE_WORDS = {"hundred": 100, "thousand": 1000, "million": 1_000_000, "billion": 1_000_000_000}
 
 WORD = "(?:" + "|".join([*NUMBER_WORDS, *SCALE_WORDS]) + r")\b"
 NUMBER_IN_WORDS = rf"{WORD}(?:(?:[ -]|\band\b)+{WORD})*"
@@ -54,7 +54,7 @@ def words_to_number(c: Column) -> Column:
     def step(acc: Column, w: Column) -> Column:
         n, part = values[w].cast("bigint"), acc["part"]
         times = F.greatest(part, F.lit(1).cast("bigint")) * n
-        return F.when(w == "thousand", F.struct((acc["total"] + times).alias("total"), F.lit(0).cast("bigint").alias("part"))).otherwise(
+        return F.when(n >= 1000, F.struct((acc["total"] + times).alias("total"), F.lit(0).cast("bigint").alias("part"))).otherwise(
             F.struct(acc["total"].alias("total"), F.when(w == "hundred", times).otherwise(part + n).alias("part"))
         )
 

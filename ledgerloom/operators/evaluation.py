@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.normalise import class_key, numeric_text, values_match
+from ledgerloom.functions.normalise import class_key, comparable, values_match
 from ledgerloom.functions.once import computed_once
 from ledgerloom.functions.text import states_nothing
 
@@ -17,7 +17,7 @@ def judge(predicted: DataFrame, expected: DataFrame, keys: list[str], tolerance:
     """Each expected field with its prediction (EV-01): keys, expected, extracted, correct, error_type. Fields only predicted are hallucinated if they state something."""
     both = expected.select(*keys, F.col("value").alias("expected")).join(predicted.select(*keys, F.col("value").alias("extracted")), keys, "full")
     got, want = F.col("extracted"), F.col("expected")
-    both = computed_once(both, {"__a": numeric_text(got), "__b": numeric_text(want), "has_value": ~states_nothing(got), "has_truth": ~states_nothing(want)})
+    both = computed_once(both, {"__a": comparable(got), "__b": comparable(want), "has_value": ~states_nothing(got), "has_truth": ~states_nothing(want)})
     both = computed_once(both, {"correct": F.coalesce(values_match(got, want, tolerance, (F.col("__a"), F.col("__b"))), F.lit(False))}).drop("__a", "__b")
     error = F.when(F.col("correct"), "correct").when(F.col("has_value") & F.col("has_truth"), "wrong_value").when(F.col("has_truth"), "missed").otherwise("hallucinated")
     return both.withColumn("error_type", error)
@@ -84,6 +84,6 @@ def judge_records(got: DataFrame, want: DataFrame, keys: list[str], name: str, a
         return rows.groupBy(*keys, "name", "attribute").agg(F.min(value).alias(value))
 
     both = tall(want, "expected").where(~states_nothing(F.col("expected"))).join(tall(got, "extracted"), [*keys, "name", "attribute"], "left")
-    both = computed_once(both, {"__a": numeric_text(F.col("extracted")), "__b": numeric_text(F.col("expected"))})
+    both = computed_once(both, {"__a": comparable(F.col("extracted")), "__b": comparable(F.col("expected"))})
     match = values_match(F.col("extracted"), F.col("expected"), tolerance, (F.col("__a"), F.col("__b")))
     return both.withColumn("correct", F.coalesce(match, F.lit(False))).drop("__a", "__b")

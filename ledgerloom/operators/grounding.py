@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.once import computed_once
 from ledgerloom.functions.predictor import Entailment, Predictor, RuleEntailment, hashed_embedding, predict
 from ledgerloom.workspace import materialise
 
@@ -32,27 +33,29 @@ def number_in_text(number: Column, text: Column) -> Column:
 
 
 def quote_in_text(quote: Column, text: Column, least: int = 20) -> Column:
-    """A quote stands in the text: short ones as they are, others regardless of white space and case (GR-04)."""
-    return F.coalesce(F.when(F.char_length(quote) < least, F.contains(text, quote)).otherwise(F.contains(_flat(text), _flat(quote))), F.lit(False))
+    """A quote stands in the text whatever its case (GR-04): short ones as they are, others regardless of white space too."""
+    return F.coalesce(F.when(F.char_length(quote) < least, F.contains(F.lower(text), F.lower(quote))).otherwise(F.contains(_flat(text), _flat(quote))), F.lit(False))
 
 
-def shingles(c: Column, n: int = 5) -> Column:
-    """The runs of `n` words of a text in lower case."""
-    words = F.split(_flat(c), " ")
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+def _words(c: Column) -> Column:
+    return F.split(_flat(c), " ")
 
 
-def partial_quote(quote: Column, text: Column, n: int = 5) -> Column:
-    """Any run of `n` words of the quote stands in the text (GR-05)."""
-    return F.coalesce(F.exists(shingles(quote, n), lambda s: F.contains(_flat(text), s)), F.lit(False))
+def partial_quotes(df: DataFrame, quote: str, text: str, n: int = 5) -> DataFrame:
+    """Any run of `n` words of the quote stands in the text, or the quote itself if it has fewer (GR-05): adds `found`. Both are flattened once per row."""
+    held = computed_once(df, {"__t": _flat(F.col(text)), "__low": F.lower(quote), "__w": _words(F.col(quote))})
+    starts = F.sequence(F.lit(1), F.size("__w") - n + 1)
+    runs = F.exists(starts, lambda i: F.contains("__t", F.array_join(F.slice("__w", i, n), " ")))
+    found = F.when(F.size("__w") < n, F.contains("__t", F.col("__low"))).otherwise(runs)
+    return held.withColumn("found", F.coalesce(found, F.lit(False))).drop("__t", "__low", "__w")
 
 
-def fuzzy_term(term: Column, text: Column) -> Column:
-    """A term stands in the text, or at least half of its longer words do if it has two (GR-06)."""
-    words = F.filter(F.split(_flat(term), " "), lambda w: F.char_length(w) > 3)
-    hits = F.size(F.filter(words, lambda w: F.contains(_flat(text), w)))
-    return F.coalesce(F.contains(_flat(text), _flat(term)) | ((F.size(words) >= 2) & (hits * 2 >= F.size(words))), F.lit(False))
+def fuzzy_terms(df: DataFrame, term: str, text: str) -> DataFrame:
+    """A term stands in the text, or at least half of its longer words do if it has two (GR-06): adds `found`. Both are flattened once per row."""
+    held = computed_once(df, {"__t": _flat(F.col(text)), "__low": _flat(F.col(term)), "__w": F.filter(_words(F.col(term)), lambda w: F.char_length(w) > 3)})
+    hits = F.size(F.filter("__w", lambda w: F.contains("__t", w)))
+    found = F.contains("__t", F.col("__low")) | ((F.size("__w") >= 2) & (hits * 2 >= F.size("__w")))
+    return held.withColumn("found", F.coalesce(found, F.lit(False))).drop("__t", "__low", "__w")
 
 
 def grounding_score(verified: Column, failed: Column) -> Column:

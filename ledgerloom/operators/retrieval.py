@@ -52,10 +52,15 @@ def padded_top(df: DataFrame, groups: list[str], score: str, position: Column, m
     return df.withColumn("rank", rank).where(F.col("rank") <= limit).drop("__hits")
 
 
+# Above so many chunks, the most sections, chunks of a section, chunks of the first pass and reranked chunks.
+SETTINGS = {2000: (20, 15, 400, 25), 1000: (15, 12, 300, 20), 500: (10, 10, 200, 15), 0: (5, 10, 50, 10)}
+
+
 def adaptive_settings(n: Column) -> Column:
-    """Steps of settings by the size of a document in chunks (RT-04): struct(top_k, chunks_per_section, first_pass)."""
-    step = lambda k, c, f: F.struct(F.lit(k).alias("top_k"), F.lit(c).alias("chunks_per_section"), F.lit(f).alias("first_pass"))
-    return F.when(n > 2000, step(20, 25, 200)).when(n > 1000, step(15, 20, 150)).when(n > 500, step(12, 15, 100)).otherwise(step(10, 10, 50))
+    """Steps of settings by the size of a document in chunks (RT-04): struct(top_k, chunks_per_section, first_pass, reranked)."""
+    names = ("top_k", "chunks_per_section", "first_pass", "reranked")
+    steps = [(above, F.struct(*[F.lit(x).alias(name) for name, x in zip(names, values)])) for above, values in SETTINGS.items()]
+    return F.coalesce(*[F.when(n > above, step) for above, step in steps], steps[-1][1])
 
 
 def rerank(df: DataFrame, groups: list[str], order: list[Column], query: str, text: str, scorer: Callable[[str, list[str]], list[float]] | None = word_overlap, first_pass: int = 50, k: int = 15, threshold: float = 0.3) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalise as N
 from ledgerloom.functions import predictor
+from ledgerloom.functions import synonyms as Y
+from ledgerloom.functions import text as T
 from ledgerloom.functions.text import cik_key, quarter_label, token_of
 from ledgerloom.operators import chunker
 from ledgerloom.operators import decisions as D
@@ -213,11 +215,14 @@ def rt_padded(spark: SparkSession, d: str) -> DataFrame:
     return R.padded_top(_scored(spark, d).withColumn("pos", F.struct("chunk_index", "chunk_id")), ["filing_id", "field"], "score", F.col("pos"), 4, 2).select("filing_id", "field", "chunk_id", "rank")
 
 
-@query("select cik, n, case when n > 2000 then 20 when n > 1000 then 15 when n > 500 then 12 else 10 end::int as top_k from (select cik, count(*) as n from documents group by 1)")
+@query("""
+select cik, n, case when n > 2000 then 20 when n > 1000 then 15 when n > 500 then 10 else 5 end::int as top_k, case when n > 2000 then 15 when n > 1000 then 12 else 10 end::int as chunks_per_section,
+  case when n > 2000 then 400 when n > 1000 then 300 when n > 500 then 200 else 50 end::int as first_pass, case when n > 2000 then 25 when n > 1000 then 20 when n > 500 then 15 else 10 end::int as reranked
+from (select cik, count(*) as n from documents group by 1)""")
 def rt_adaptive(spark: SparkSession, d: str) -> DataFrame:
     """RT-04."""
     n = table(spark, d, "documents", "cik").groupBy("cik").agg(F.count("*").alias("n"))
-    return n.select("cik", "n", R.adaptive_settings(F.col("n"))["top_k"].alias("top_k"))
+    return n.select("cik", "n", R.adaptive_settings(F.col("n")).alias("s")).select("cik", "n", "s.*")
 
 
 _RANKED = f"(select filing_id, field, chunk_id, row_number() over (partition by filing_id, field order by {_ORDER}) as rank from {_SCORED} where score > 0 qualify rank <= 10)"
@@ -416,13 +421,23 @@ def sc_percent(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "leverage_limits", "extraction_id", "max_leverage_pct").select("extraction_id", N.percent_text(F.col("max_leverage_pct")).try_cast("double").alias("pct"))
 
 
-FREQUENCIES = {"semi": "semi_annual", "half": "semi_annual", "quarter": "quarterly", "month": "monthly", "annual": "annual", "year": "annual"}
+def _mapped_sql(c: str, synonyms: dict[str, str]) -> str:
+    low = f"replace(lower(trim({c})), '_', ' ')"
+    return f"coalesce(map {{{', '.join(f"'{k}': '{v}'" for k, v in synonyms.items())}}}[{low}], case " + " ".join(f"when contains({low}, '{k}') then '{v}'" for k, v in synonyms.items()) + f" else {c} end)"
 
 
-@query("select extraction_id, case " + " ".join(f"when contains(lower(trim(repurchase_frequency)), '{k}') then '{v}'" for k, v in FREQUENCIES.items()) + " else repurchase_frequency end as frequency from repurchase_terms")
+@query(f"select extraction_id, {_mapped_sql('repurchase_frequency', Y.REPURCHASE_FREQUENCY)} as repurchase, {_mapped_sql('repurchase_frequency', Y.DISTRIBUTION_FREQUENCY)} as distribution, {_mapped_sql('repurchase_frequency', Y.HURDLE_FREQUENCY)} as hurdle from repurchase_terms")
 def sc_frequency(spark: SparkSession, d: str) -> DataFrame:
-    """SC-20..23: exact synonym, else the first contained."""
-    return table(spark, d, "repurchase_terms", "extraction_id", "repurchase_frequency").select("extraction_id", N.mapped(F.col("repurchase_frequency"), FREQUENCIES).alias("frequency"))
+    """SC-22: a frequency as each kind of field has it."""
+    c = F.col("repurchase_frequency")
+    return table(spark, d, "repurchase_terms", "extraction_id", "repurchase_frequency").select("extraction_id", N.mapped(c, Y.REPURCHASE_FREQUENCY).alias("repurchase"), N.mapped(c, Y.DISTRIBUTION_FREQUENCY).alias("distribution"), N.mapped(c, Y.HURDLE_FREQUENCY).alias("hurdle"))
+
+
+@query(f"select extraction_id, {_mapped_sql('leverage_basis', Y.LEVERAGE_BASIS)} as leverage, {_mapped_sql('leverage_basis', Y.REPURCHASE_BASIS)} as repurchase from leverage_limits")
+def sc_basis(spark: SparkSession, d: str) -> DataFrame:
+    """SC-20, SC-21: a basis as each kind of field has it."""
+    c = F.col("leverage_basis")
+    return table(spark, d, "leverage_limits", "extraction_id", "leverage_basis").select("extraction_id", N.mapped(c, Y.LEVERAGE_BASIS).alias("leverage"), N.mapped(c, Y.REPURCHASE_BASIS).alias("repurchase"))
 
 
 @query(r"""
@@ -474,7 +489,7 @@ def _cited(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-select extraction_id, chunk_id, coalesce(case when length(citation) < 20 then contains(content, citation) else contains({_FLAT("content")}, {_FLAT("citation")}) end, false) as found
+select extraction_id, chunk_id, coalesce(case when length(citation) < 20 then contains(lower(content), lower(citation)) else contains({_FLAT("content")}, {_FLAT("citation")}) end, false) as found
 from repurchase_terms join chunks using (filing_id) where citation is not null""")
 def gr_quote(spark: SparkSession, d: str) -> DataFrame:
     """GR-04: a citation in the chunks of its filing."""
@@ -482,12 +497,12 @@ def gr_quote(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-with q as (select extraction_id, filing_id, string_split({_FLAT("citation")}, ' ') as w from repurchase_terms where citation is not null)
-select extraction_id, chunk_id, coalesce(list_bool_or(list_transform(range(1, len(w) - 1), lambda i: contains({_FLAT("content")}, array_to_string(w[i : i + 2], ' ')))), false) as found
+with q as (select extraction_id, filing_id, lower(citation) as low, string_split({_FLAT("citation")}, ' ') as w from repurchase_terms where citation is not null)
+select extraction_id, chunk_id, coalesce(case when len(w) < 3 then contains({_FLAT("content")}, low) else list_bool_or(list_transform(range(1, len(w) - 1), lambda i: contains({_FLAT("content")}, array_to_string(w[i : i + 2], ' ')))) end, false) as found
 from q join chunks using (filing_id)""")
 def gr_partial_quote(spark: SparkSession, d: str) -> DataFrame:
     """GR-05 with runs of three words."""
-    return _cited(spark, d).select("extraction_id", "chunk_id", G.partial_quote(F.col("citation"), F.col("content"), 3).alias("found"))
+    return G.partial_quotes(_cited(spark, d), "citation", "content", 3).select("extraction_id", "chunk_id", "found")
 
 
 @query(f"""
@@ -496,7 +511,7 @@ select extraction_id, chunk_id, coalesce(contains({_FLAT("content")}, t) or (len
 from q join chunks using (filing_id)""")
 def gr_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """GR-06."""
-    return _cited(spark, d).select("extraction_id", "chunk_id", G.fuzzy_term(F.col("citation"), F.col("content")).alias("found"))
+    return G.fuzzy_terms(_cited(spark, d), "citation", "content").select("extraction_id", "chunk_id", "found")
 
 
 @query("""
@@ -602,14 +617,19 @@ def _cells_sql(where: str) -> str:
     return data_sql._P5.replace("from expected_fields x", f"from (select * from expected_fields where {where}) x")
 
 
+_SAME = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in Y.VALUES.items()) + "}"
+_ONE_WORD = "map {" + ", ".join(f"'{k}': {float(v)}::double" for k, v in (T.NUMBER_WORDS | T.SCALE_WORDS | N.OTHER_NUMBER_WORDS).items()) + "}"
+
+
 def _judged_sql(where: str = "expected_type is not null") -> str:
-    num = "regexp_extract({0}, '^([+-]?[0-9.]+)$', 1)"
-    first = "regexp_extract({0}, '([0-9]+(?:[.][0-9]+)?)', 1)"
-    value = lambda c: f"coalesce(try_cast(nullif({num.format(c)}, '') as double), try_cast(nullif({first.format(c)}, '') as double))"
+    """Cells are words without blanks, plain numbers or booleans, so of the rules for numbers only those for these are here."""
+    factor = "case when regexp_matches({0}, '(million|mm|m)$') then 1e6 when regexp_matches({0}, '(billion|b)$') then 1e9 when regexp_matches({0}, '(thousand|k)$') then 1e3 else 1 end"
+    digits = "coalesce(try_cast(nullif(regexp_extract({0}, '^([+-]?[0-9]+[.]?[0-9]*)$', 1), '') as double), try_cast(replace(nullif(regexp_extract({0}, '([0-9,]+[.]?[0-9]*)', 1), ''), ',', '') as double) * " + factor + ")"
+    number = lambda c: f"case when {_SAME}[{c}] is null then coalesce({_ONE_WORD}[{c}], {digits.format(c)}) end"
     return f"""(select *, case when correct then 'correct' when extracted is not null and expected is not null then 'wrong_value' when expected is not null then 'missed' else 'hallucinated' end as error_type from
-  (select filing_id, field_path, e.cell as expected, p.cell as extracted, case when e.cell is null or p.cell is null then coalesce(e.cell, 'false') in ('false', 'no') and coalesce(p.cell, 'false') in ('false', 'no')
-    when {value("e.cell")} is not null and {value("p.cell")} is not null then abs({value("e.cell")} - {value("p.cell")}) <= 0.01 + 1e-12 else e.cell = p.cell end as correct
-   from ({_cells_sql("true")}) e full join ({_cells_sql(where)}) p using (filing_id, field_path)))"""
+  (select filing_id, field_path, expected, extracted, case when expected is null or extracted is null then coalesce(expected, extracted, 'false') = 'false'
+    when ne is not null then coalesce(abs(nx - ne) <= 0.01 + 1e-12, false) else nx is null and coalesce({_SAME}[expected], expected) = coalesce({_SAME}[extracted], extracted) end as correct
+   from (select filing_id, field_path, e.cell as expected, p.cell as extracted, {number("e.cell")} as ne, {number("p.cell")} as nx from ({_cells_sql("true")}) e full join ({_cells_sql(where)}) p using (filing_id, field_path))))"""
 
 
 def _metrics_sql(by: str, where: str = "expected_type is not null") -> str:
