@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ NUMBER_PHRASES = {"a year": 1, "one year": 1, "two years": 2, "three years": 3}
 MULTIPLIERS = {"million|mm|m": 1e6, "billion|b": 1e9, "thousand|k": 1e3}
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """`f` of a column that is evaluated once, however often `f` uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _lookup(table: dict[str, float], c: Column) -> Column:
     return F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, float(v))])[c]
 
@@ -35,16 +42,23 @@ def numeric_text(c: Column) -> Column:
 
     Words count only if they are the whole text (`one month` is no number); digits count wherever they stand first.
     """
-    s = trimmed(stated(c))
-    bare = F.regexp_replace(F.regexp_replace(s, r"(?i)^(?:\$\s*)?(?:€\s*)?(?:£\s*)?(?:USD\s*)?(?:US\$\s*)?", ""), r"(?i)(?:\s*dollars?)?(?:\s*USD)?$", "")
     ends = {rf"\s*({p})\s*$": f for p, f in MULTIPLIERS.items()}
-    factor = F.coalesce(*[F.when(bare.rlike(f"(?i){p}"), f) for p, f in ends.items()], F.lit(1.0))
-    cut = F.coalesce(*[F.when(bare.rlike(f"(?i){p}"), F.regexp_replace(bare, p, "")) for p in ends], bare)
-    plain = F.trim(F.regexp_replace(cut, "[,%]", ""))
-    first = F.coalesce(F.nullif(F.regexp_extract(plain, r"(?i)^([0-9.]+)(?:\s*[-–—]\s*|\s+to\s+)[0-9.]+", 1), F.lit("")), plain)
-    number = F.when(first.rlike(r"^[+-]?(?:[0-9]+|(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)$"), first).try_cast("double")
-    anywhere = F.nullif(F.regexp_replace(F.regexp_extract(s, r"([0-9,]+\.?[0-9]*)", 1), ",", ""), F.lit("")).try_cast("double")
-    return F.coalesce(word_number(s), number * factor, anywhere * factor)
+
+    def of(s: Column) -> Column:
+        anywhere = F.nullif(F.regexp_replace(F.regexp_extract(s, r"([0-9,]+\.?[0-9]*)", 1), ",", ""), F.lit("")).try_cast("double")
+        unsigned = F.regexp_replace(F.regexp_replace(s, r"(?i)^(?:\$\s*)?(?:€\s*)?(?:£\s*)?(?:USD\s*)?(?:US\$\s*)?", ""), r"(?i)(?:\s*dollars?)?(?:\s*USD)?$", "")
+        return F.coalesce(word_number(s), bound(unsigned, lambda bare: with_factor(bare, anywhere)))
+
+    def with_factor(bare: Column, anywhere: Column) -> Column:
+        factor = F.coalesce(*[F.when(bare.rlike(f"(?i){p}"), f) for p, f in ends.items()], F.lit(1.0))
+        cut = F.coalesce(*[F.when(bare.rlike(f"(?i){p}"), F.regexp_replace(bare, p, "")) for p in ends], bare)
+        return bound(F.trim(F.regexp_replace(cut, "[,%]", "")), lambda plain: F.coalesce(digits(plain), anywhere) * factor)
+
+    def digits(plain: Column) -> Column:
+        first = F.coalesce(F.nullif(F.regexp_extract(plain, r"(?i)^([0-9.]+)(?:\s*[-–—]\s*|\s+to\s+)[0-9.]+", 1), F.lit("")), plain)
+        return bound(first, lambda x: F.when(x.rlike(r"^[+-]?(?:[0-9]+|(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)$"), x).try_cast("double"))
+
+    return bound(trimmed(stated(c)), of)
 
 
 def mapped(c: Column, synonyms: dict[str, str]) -> Column:

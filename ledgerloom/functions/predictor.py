@@ -77,7 +77,7 @@ def predict(df: DataFrame, question: str, text: str, predictor: Predictor | None
             got = [p.answer(q or "", t or "") for q, t in zip(b[question], b[text])]
             yield b.assign(answer=[a for a, _ in got], answer_score=[float(s) for _, s in got])
 
-    return df.mapInPandas(run, schema)
+    return in_workers(df).mapInPandas(run, schema)
 
 
 def hashed_embedding(text: str | None, size: int = 64) -> list[float]:
@@ -92,6 +92,7 @@ def hashed_embedding(text: str | None, size: int = 64) -> list[float]:
 
 def embed(df: DataFrame, text: str, size: int = 64) -> DataFrame:
     """Adds `embedding` by the hashed words of a text."""
+    in_workers(df)
 
     @F.pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
@@ -119,8 +120,6 @@ def bounded_rounds(open_items: DataFrame, act, key: str, rounds: int) -> DataFra
 
     Each round is one job over all open items and its result is written, so plans stay short and no item waits for another.
     """
-    from ledgerloom.workspace import materialise
-
     done = None
     for n in range(rounds):
         result = materialise(act(open_items, n).withColumn("round", F.lit(n)), "round")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.predictor import LeadPredictor, Predictor, embed, predict
-from ledgerloom.workspace import materialise
+from ledgerloom.workspace import in_workers, materialise
 
 #: Where a chunk may end, strongest first.
 ENDS = tuple(re.compile(p) for p in (r"\n[ \t]*\n\s*", r"\n\s*", r"(?<=[.!?])\s+", r"\s+"))
@@ -66,7 +66,7 @@ def chunk_texts(df: DataFrame, key: str, text: str, max_tokens: int = 500, overl
             rows = [(k, i, s, e, token_estimate(e - s), t[s:e]) for k, t in zip(b[key], b[text]) for i, (s, e) in enumerate(chunk_spans(t, max_tokens, overlap_tokens))]
             yield pd.DataFrame(rows, columns=[key, *[c.split()[0] for c in CHUNKS.split(", ")]])
 
-    return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, {CHUNKS}")
+    return in_workers(df.select(key, text)).mapInPandas(run, f"`{key}` {kind}, {CHUNKS}")
 
 
 class _Units(HTMLParser):
@@ -128,7 +128,7 @@ def chunk_html(df: DataFrame, key: str, html: str, max_tokens: int = 500, overla
         for b in batches:
             yield pd.DataFrame([(k, i, u, t) for k, h in zip(b[key], b[html]) for i, (u, t) in enumerate(chunks(h))], columns=[key, "chunk_index", "kind", "content"])
 
-    return df.select(key, html).mapInPandas(run, f"`{key}` {kind}, chunk_index int, kind string, content string")
+    return in_workers(df.select(key, html)).mapInPandas(run, f"`{key}` {kind}, chunk_index int, kind string, content string")
 
 
 def starts(texts: Column) -> Column:
@@ -159,7 +159,7 @@ def _nearest_seeds(nodes: DataFrame) -> DataFrame:
                 near = d.argmin(axis=1)
                 yield pd.DataFrame({"document": document, "pos": ra, "cluster": sa[near], "distance": d[np.arange(len(ra)), near]})
 
-    found = pairs.mapInPandas(best, "document string, pos int, cluster int, distance double")
+    found = in_workers(pairs).mapInPandas(best, "document string, pos int, cluster int, distance double")
     return found.groupBy("document", "pos").agg(F.min(F.struct("distance", "cluster"))["cluster"].alias("cluster"))
 
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.normalise import values_match
+from ledgerloom.functions.normalise import comparable, values_match
+from ledgerloom.functions.once import computed_once
 from ledgerloom.functions.text import stated
 
 
@@ -29,9 +30,10 @@ def align(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def decide(aligned: DataFrame) -> DataFrame:
     """Adds reason, final_value and escalated (EN-02): agree, both_null, only one, or disagree; a disagreement keeps the left value and is escalated."""
-    l, r = stated(F.col("left_value")), stated(F.col("right_value"))
-    reason = F.when(l.isNull() & r.isNull(), "both_null").when(r.isNull(), "left_only").when(l.isNull(), "right_only").when(values_match(l, r, 0.001), "agree").otherwise("disagree")
-    return aligned.withColumns({"reason": reason, "final_value": F.coalesce(l, r), "escalated": reason == "disagree"})
+    aligned = computed_once(aligned, {"__l": stated(F.col("left_value").cast("string")), "__r": stated(F.col("right_value").cast("string")), "__a": comparable(F.col("left_value").cast("string")), "__b": comparable(F.col("right_value").cast("string"))})
+    l, r = F.col("__l"), F.col("__r")
+    reason = F.when(l.isNull() & r.isNull(), "both_null").when(r.isNull(), "left_only").when(l.isNull(), "right_only").when(values_match(l, r, 0.001, (F.col("__a"), F.col("__b"))), "agree").otherwise("disagree")
+    return aligned.withColumns({"reason": reason, "final_value": F.coalesce(l, r), "escalated": reason == "disagree"}).drop("__l", "__r", "__a", "__b")
 
 
 def route_by_confidence(gap: Column, low: Column, high: Column, margin: float = 0.25, floor: float = 0.3, sure: float = 0.7) -> Column:

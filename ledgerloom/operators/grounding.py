@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions.once import computed_once
 from ledgerloom.functions.predictor import Entailment, Predictor, RuleEntailment, hashed_embedding, predict
-from ledgerloom.workspace import materialise
+from ledgerloom.workspace import in_workers, materialise
 
 
 def _flat(c: Column) -> Column:
@@ -101,7 +101,7 @@ def sentence_similarity(df: DataFrame, claim: str, evidence: str, sources: str |
             got = [nearest(c, [e, *(s if s is not None else [])]) for c, e, s in zip(b[claim], b[evidence], more)]
             yield b.assign(similarity=[s for s, _ in got], best_sentence=[t for _, t in got])
 
-    return df.mapInPandas(run, _with(df, similarity=T.DoubleType(), best_sentence=T.StringType())).withColumn("grounded", F.col("best_sentence").isNotNull() & (F.col("similarity") >= threshold))
+    return in_workers(df).mapInPandas(run, _with(df, similarity=T.DoubleType(), best_sentence=T.StringType())).withColumn("grounded", F.col("best_sentence").isNotNull() & (F.col("similarity") >= threshold))
 
 
 def entailed(df: DataFrame, claim: str, evidence: str, model: Entailment | None = None, entail: float = 0.7, contradict: float = 0.7, longest: int = 2000) -> DataFrame:
@@ -114,7 +114,7 @@ def entailed(df: DataFrame, claim: str, evidence: str, model: Entailment | None
             yield b.assign(entailment=[float(e) for e, _ in got], contradiction=[float(c) for _, c in got])
 
     e, c = F.col("entailment"), F.col("contradiction")
-    scored = df.mapInPandas(run, _with(df, entailment=T.DoubleType(), contradiction=T.DoubleType()))
+    scored = in_workers(df).mapInPandas(run, _with(df, entailment=T.DoubleType(), contradiction=T.DoubleType()))
     return scored.withColumns({"grounded": (e >= entail) & (c < contradict), "confidence": e * (1 - c)})
 
 

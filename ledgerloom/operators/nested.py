@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.workspace import ship_package
+from ledgerloom.workspace import in_workers
 
 # The parts of a body that make one known, and the keys that wrap one.
 KNOWN_PARTS = ("fields", "per_fund", "per_field")
@@ -216,9 +216,8 @@ def flatten_records(raw: DataFrame, tables: tuple[str, ...] = (BODIES, *PARENT_O
     container, keyed by its path from the nearest row above. Without `content` both are null. Null, empty and unreadable
     bodies give no row; a body that was delivered twice under two record ids gives rows for both; a repeated record id repeats its rows.
     """
-    ship_package(raw.sparkSession)
     wanted = frozenset(tables)
-    return raw.select(F.col("record_id").cast("bigint"), F.col("body").cast("string")).mapInArrow(lambda it: _flatten(it, wanted, content), NODE_SCHEMA)
+    return in_workers(raw.select(F.col("record_id").cast("bigint"), F.col("body").cast("string"))).mapInArrow(lambda it: _flatten(it, wanted, content), NODE_SCHEMA)
 
 
 def child_table(flat: DataFrame, name: str, **columns: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.predictor import word_overlap
+from ledgerloom.workspace import in_workers
 
 #: A small default lexicon: field → {weight: terms}. Pass another of the same shape for other corpora.
 LEXICON: dict[str, dict[int, tuple[str, ...]]] = {
@@ -72,6 +73,7 @@ def rerank(df: DataFrame, groups: list[str], order: list[Column], query: str, te
     placed = df.withColumn("original_index", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1)
     if scorer is None:
         return placed.withColumn("relevance", F.lit(1.0))
+    in_workers(df)
 
     @F.pandas_udf("array<double>")
     def scored(queries: pd.Series, texts: pd.Series) -> pd.Series:
@@ -137,7 +139,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
                 out = pd.DataFrame({"query_id": np.repeat(qi, order.shape[1]), key: ri[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
                 yield out[out["score"] > -np.inf]
 
-    hits = pairs.select("qbs", "rbs").mapInPandas(best, f"query_id bigint, {key} bigint, score double")
+    hits = in_workers(pairs.select("qbs", "rbs")).mapInPandas(best, f"query_id bigint, {key} bigint, score double")
     return top_k(hits, ["query_id"], [F.desc("score"), F.col(key)], k)
 
 

@@ -746,14 +746,14 @@ def xb_footnotes(spark: SparkSession, d: str) -> DataFrame:
 @query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n, cast(round(sum(cast(value as decimal(18,6))), 6) as double) as total from events group by 1, 2")
 def st_windows(spark: SparkSession, d: str) -> DataFrame:
     """Hourly windows of the event stream."""
-    out = events.run_available(events.windowed_counts(events.event_stream(spark, d, "events")))
+    out = events.run_available(events.windowed_counts(events.event_stream(spark, d, "events")), ["window_start", "event_type"])
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id from events group by 1")
 def st_latest(spark: SparkSession, d: str) -> DataFrame:
     """REL-23 on a stream: the last event per user."""
-    return events.upsert_stream(events.event_stream(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id").select("user_id", "event_type", "event_id")
+    return events.run_available(events.event_stream(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id").select("user_id", "event_type", "event_id")
 
 
 # ---------------------------------------------------------------- more sections, retrieval, records

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import words_to_number
+from ledgerloom.workspace import in_workers
 
 EVENTS = "filing_id string, pos int, kind string, id string, name string, context_ref string, unit string, scale string, sign string, continued_at string, format string, text string"
 _VOID = {"br", "hr", "img", "input", "meta", "link", "col", "area", "base", "wbr"}
@@ -101,7 +102,7 @@ def events(filings: DataFrame, key: str = "filing_id", html: str = "html") -> Da
                     rows = []
             yield pd.DataFrame(rows, columns=columns)
 
-    return filings.select(F.col(key).cast("string").alias("filing_id"), F.col(html).alias("html")).mapInPandas(run, EVENTS)
+    return in_workers(filings.select(F.col(key).cast("string").alias("filing_id"), F.col(html).alias("html"))).mapInPandas(run, EVENTS)
 
 
 # How a context names a share class, and what looks like one but is none.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.workspace import shared_folder
@@ -18,42 +18,32 @@ def event_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Counts and sums per window and type; state of windows older than the watermark is dropped."""
+    """Counts and sums per window and type. In append or update mode, state of windows older than the watermark is dropped."""
     g = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
     return g.agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,6)")), 6).cast("double").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
-def latest_by_key(batch: DataFrame, state: DataFrame | None, key: str, at: str) -> DataFrame:
-    """The last row per key of a batch and the state before it (an upsert)."""
-    both = batch if state is None else state.unionByName(batch)
-    w = Window.partitionBy(key).orderBy(F.desc(at))
-    return both.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+def last_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row per key in a stated order."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and return its last output, which is written whole to the shared folder by each batch."""
-    spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
-
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
-
+def run_available(stream: DataFrame, keys: list[str], at: str | None = None, base: str | None = None) -> DataFrame:
+    """Run a stream over what is there and return its table so far: the last row per key.
 
-def upsert_stream(stream: DataFrame, key: str, at: str) -> DataFrame:
-    """Run a stream over what is there into a table of the last row per key; each batch reads one version and writes the next, so a repeated batch changes nothing."""
+    A batch writes its own rows, the last per key, to a folder named by its number below `base`; the table is the last of them all, by
+    `at` if that is a column, then by batch. So a batch costs what is new in it, a repeated one changes nothing, and with the same
+    `base` a stream goes on after a restart, as nothing is held by the driver. Without `base` a fresh one below the shared folder is taken.
+    """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
-    last: list[str] = []
+    base = base or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    newest = [F.desc_nulls_last(at)] if at else []
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{base}/out/batch=-1")
 
-    def merge(batch: DataFrame, n: int) -> None:
-        state = spark.read.schema(stream.schema).parquet(last[-1]) if last else None
-        latest_by_key(batch, state, key, at).write.mode("overwrite").parquet(f"{base}/v{n}")
-        last.append(f"{base}/v{n}")
+    def keep(batch: DataFrame, n: int) -> None:
+        (last_of(batch, keys, newest) if at else batch).write.mode("overwrite").parquet(f"{base}/out/batch={n}")
 
-    q = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(merge).start()
+    q = stream.writeStream.outputMode("append" if at else "update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(last[-1]) if last else spark.createDataFrame([], stream.schema)
+    return last_of(spark.read.parquet(f"{base}/out"), keys, [*newest, F.desc("batch")]).select(*stream.columns)
