@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.once import computed_once
+from ledgerloom.functions.section_table import STANDARD_SECTIONS, TITLE_PATTERNS
+from ledgerloom.sources import taxonomy
+from ledgerloom.workspace import in_workers
+
 # What an entity looks like.
 ENTITY_PATTERNS = {"amount": r"\$[0-9][0-9,]*(?:\.[0-9]+)?", "percent": r"[0-9]+(?:\.[0-9]+)?%", "share_class": r"Class [A-Z]\b"}
 
@@ -43,20 +53,25 @@ def camel_words(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?<=[a-z0-9])(?=[A-Z])", " "))
 
 
+#: A line of its own in capitals, or in title case without a full stop.
+HEADING_LINE = r"(?md)^(?:[A-Z][A-Z &,-]{3,60}|(?:[A-Z][a-z]+)(?: (?:and|of|the|for|[A-Z][a-z]+)){1,6})$"
+
+
 def heading_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 100) -> DataFrame:
     """Sections of a plain text: from each heading line to the next (SEG-09, SEG-15): key, ord, title, char_start, n_chars.
 
     A heading is a short line of its own, in capitals or title case without a full stop, after a line break or at the start.
-    What is shorter than `least` characters is dropped.
+    What is shorter than `least` characters is dropped. The text is cut at its headings within its row, so nothing is shuffled.
     """
-    lines = F.split(F.col(text), "\n")
-    # Line starts are running sums over the array of lines; a heading is a line that matches.
-    at = docs.where(F.col(text).isNotNull()).select(key, F.char_length(text).alias("__n"), F.posexplode(lines).alias("__line", "title"))
-    w = Window.partitionBy(key).orderBy("__line")
-    at = at.withColumn("char_start", F.coalesce(F.sum(F.char_length("title") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = at.where(F.col("title").rlike(r"^(?:[A-Z][A-Z &,-]{3,60}|(?:[A-Z][a-z]+)(?: (?:and|of|the|for|[A-Z][a-z]+)){1,6})\z"))
-    at = at.withColumns({"ord": F.row_number().over(w), "__end": F.coalesce(F.lead("char_start").over(w), F.col("__n"))})
-    return at.select(key, "ord", "title", F.col("char_start").cast("int").alias("char_start"), (F.col("__end") - F.col("char_start")).cast("int").alias("n_chars")).where(F.col("n_chars") >= least)
+    held = computed_once(docs.select(key, F.col(text).alias("__t")), {"__heads": F.regexp_extract_all("__t", F.lit(HEADING_LINE), F.lit(0)), "__between": F.transform(F.split("__t", HEADING_LINE), F.char_length)})
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    # The k-th heading starts after the k stretches and the k headings before it.
+    pairs = F.zip_with("__heads", F.slice("__between", 1, F.size("__heads")), lambda h, n: F.struct(n.alias("n"), F.char_length(h).alias("h")))
+    starts = F.aggregate(pairs, none, lambda a, x: F.struct((a["at"] + x["n"] + x["h"]).alias("at"), F.array_append(a["starts"], a["at"] + x["n"]).alias("starts")), lambda a: a["starts"])
+    held = computed_once(held, {"__starts": starts, "__n": F.char_length("__t")})
+    end = lambda i: F.coalesce(F.get("__starts", i + 1), F.col("__n"))
+    rows = F.transform("__heads", lambda h, i: F.struct((i + 1).alias("ord"), h.alias("title"), F.get("__starts", i).alias("char_start"), (end(i) - F.get("__starts", i)).alias("n_chars")))
+    return held.select(key, F.explode(F.filter(rows, lambda r: r["n_chars"] >= least)).alias("s")).select(key, "s.*")
 
 
 def consolidate(sections: DataFrame, groups: list[str], title: str, order: str, text: str) -> DataFrame:
@@ -99,14 +114,23 @@ def chunk_ids(section: Column, index: Column, content: Column) -> tuple[Column,
 def pack_paragraphs(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """Paragraphs, small ones joined to what follows (CH-14): key, group, n_paragraphs, text.
 
-    A group ends with the first paragraph that is not small, so the group number is the count of such before it.
+    A group ends with the first paragraph that is not small; what is left at the end is a group too. Folded within the row of the
+    text, so nothing is shuffled.
     """
-    paras = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.col(text), r"\n\n+")).alias("pos", "para")).withColumn("para", F.trim("para")).where("para <> ''")
-    w = Window.partitionBy(key).orderBy("pos")
-    big = F.when(F.char_length("para") >= least, 1).otherwise(0)
-    paras = paras.withColumn("group", F.coalesce(F.sum(big).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "para"))), lambda p: p["para"]), "\n\n")
-    return paras.groupBy(key, "group").agg(F.count("*").alias("n_paragraphs"), joined.alias("text"))
+    paras = F.filter(F.transform(F.split(F.col(text), r"\n\n+"), lambda p: F.trim(p)), lambda p: p != "")
+    group = "struct<n_paragraphs:bigint,text:array<string>>"
+    start = F.struct(F.array().cast(f"array<{group}>").alias("done"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<string>").alias("open"))
+
+    def step(a: Column, p: Column) -> Column:
+        n, open_ = a["n"] + 1, F.array_append(a["open"], p)
+        closed = F.array_append(a["done"], F.struct(n.alias("n_paragraphs"), open_.alias("text")))
+        return F.when(F.char_length(p) >= least, F.struct(closed.alias("done"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<string>").alias("open"))).otherwise(F.struct(a["done"].alias("done"), n.alias("n"), open_.alias("open")))
+
+    def finish(a: Column) -> Column:
+        return F.when(a["n"] > 0, F.array_append(a["done"], F.struct(a["n"].alias("n_paragraphs"), a["open"].alias("text")))).otherwise(a["done"])
+
+    groups = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.aggregate(paras, start, step, finish)).alias("group", "g"))
+    return groups.select(key, F.col("group").cast("bigint").alias("group"), "g.n_paragraphs", F.array_join("g.text", "\n\n").alias("text"))
 
 
 def entities(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -152,3 +176,60 @@ def section_fields(df: DataFrame, patterns: dict[str, list[str]], title: str) ->
     """The fields whose patterns a title matches, as a sorted array (SEG-18): adds target_fields."""
     hits = F.array_compact(F.array(*[F.when(F.coalesce(F.col(title).rlike("(?i)" + "|".join(ps)), F.lit(False)), f) for f, ps in sorted(patterns.items())]))
     return df.withColumn("target_fields", hits)
+
+
+def section_name(title: Column) -> Column:
+    """The standard section that a title names, the first in the table's order (SEG-19, SEG-20); null if none."""
+    return F.coalesce(*[F.when(title.rlike(p), name) for name, p in TITLE_PATTERNS.items()])
+
+
+def target_fields(title: Column, tag: Column) -> Column:
+    """The fields that a section can hold (SEG-18): those of its tag, of every standard section and every kind of heading that its title matches, sorted."""
+    words = lambda names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    by_tag = F.create_map(*[x for t, names in taxonomy.BLOCK_FIELDS.items() for x in (F.lit(t), words(names))])[tag]
+    by_title = [F.when(title.rlike(TITLE_PATTERNS[n]), words(fields)) for n, (_, fields, _) in STANDARD_SECTIONS.items() if fields]
+    by_heading = [F.when(title.rlike("(?i)(?:" + "|".join(ps) + ")"), words(fields)) for ps, fields in taxonomy.HEADING_FIELDS.values()]
+    return F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.array(by_tag, *by_title, *by_heading)))))
+
+
+def standard_spans(text: str | None, apart: int = 50, most: int = 50_000, least: int = 100) -> list[tuple[str, str, int, int]]:
+    """The standard sections of a text as (section, title, start, end), in order of their start (SEG-02, SEG-22).
+
+    A section starts at the first match of its patterns, in their order, after which it has `least` characters: it ends at the next
+    match of another section that begins over `apart` characters after its title, or `most` characters on. So the lines of a table of
+    contents start none. Runs of white space count as one blank in matching; offsets are those of the text.
+    """
+    if not text:
+        return []
+    words = list(re.finditer(r"\S+", text))
+    flat = " ".join(w.group() for w in words)
+    starts = np.cumsum([0, *[len(w.group()) + 1 for w in words]])
+
+    def place(p: int) -> int:
+        i = int(np.searchsorted(starts, p, side="right")) - 1
+        return words[i].start() + p - int(starts[i]) if i < len(words) else len(text)
+
+    matches = [(name, [(m.start(), m.end()) for p in patterns for m in re.finditer(p, flat, re.I)]) for name, (patterns, _, _) in STANDARD_SECTIONS.items()]
+    found = []
+    for name, own in matches:
+        others = np.array(sorted(s for n, ms in matches if n != name for s, _ in ms), np.int64)
+        for s, e in own:
+            i = int(np.searchsorted(others, e + apart))
+            begin = place(s)
+            end = min(place(int(others[i])) if i < len(others) else len(text), begin + most)
+            if end - begin >= least:
+                found.append((name, flat[s:e], begin, end))
+                break
+    return sorted(found, key=lambda f: f[2])
+
+
+def standard_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The standard sections of texts (SEG-02): key, section, title, char_start, char_end. Null and empty texts have none."""
+    columns = [key, "section", "title", "char_start", "char_end"]
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(k, *s) for k, t in zip(b[key], b[text]) for s in standard_spans(t)], columns=columns)
+
+    return in_workers(docs.select(key, text)).mapInPandas(run, f"`{key}` {kind}, section string, title string, char_start int, char_end int")

@@ -12,6 +12,7 @@ from ledgerloom.functions import normalise as N
 from ledgerloom.functions import predictor
 from ledgerloom.functions import synonyms as Y
 from ledgerloom.functions import text as T
+from ledgerloom.functions.section_table import STANDARD_SECTIONS, TITLE_PATTERNS
 from ledgerloom.functions.text import cik_key, quarter_label, token_of
 from ledgerloom.operators import chunker
 from ledgerloom.operators import decisions as D
@@ -21,7 +22,8 @@ from ledgerloom.operators import holdings as H
 from ledgerloom.operators import retrieval as R
 from ledgerloom.operators import sections as S
 from ledgerloom.operators import wide as W
-from ledgerloom.plans import data_sql
+from ledgerloom.plans import data_sql, filing_program
+from ledgerloom.sources import html_sections, taxonomy
 from ledgerloom.sources import ixbrl
 from ledgerloom.sources import quarters as Q
 from ledgerloom.sources.tables import table
@@ -756,6 +758,131 @@ def st_latest(spark: SparkSession, d: str) -> DataFrame:
     return events.run_available(events.event_stream(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id").select("user_id", "event_type", "event_id")
 
 
+# ---------------------------------------------------------------- documents with share classes, HTML sections
+
+
+def _classed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with facts of several share classes: by id and by member, a vetoed member, dashes, words, scales, negatives, unmapped tags, a block and an empty one."""
+    context = lambda ident, member: f"<xbrli:context id='{ident}'><xbrli:entity><xbrli:identifier>x</xbrli:identifier><xbrli:segment>{member}</xbrli:segment></xbrli:entity><xbrli:period><xbrli:instant>2024-12-31</xbrli:instant></xbrli:period></xbrli:context>"
+    member = lambda name: f"<xbrldi:explicitMember dimension='a'>{name}</xbrldi:explicitMember>"
+    fact = lambda name, ctx, rest="": f"<ix:nonFraction name='{name}' contextRef='{ctx}' {rest}>"
+    head = context("c0", "") + context("c1", member("f:SomeRiskMember") + member("f:ClassISharesMember")) + context("P1_ClassSAdvisorySharesMember", "") + context("c3", member("f:InstitutionalSharesMember")) + context("c4", member("f:ClassISharesRepurchasedMember"))
+    x = F.format_string("%.2f", (F.col("row_id") % 300) / 100)
+    parts = [
+        head, fact("cef:ManagementFeesPercent", "c1", "scale='-2' id='a'"), x, "</ix:nonFraction>", fact("cef:ManagementFeesPercent", "P1_ClassSAdvisorySharesMember", "scale='-2' id=''"), "<b>—</b></ix:nonFraction>",
+        fact("cef:ManagementFeesPercent", "c0", "format='ixt:numwordsen'"), "one</ix:nonFraction>", fact("cef:SalesLoadPercent", "c3", "sign='-'"), "1.5</ix:nonFraction>", fact("cef:Unmapped", "c0"), "7</ix:nonFraction>",
+        fact("us-gaap:NetAssetValuePerShare", "c4"), F.format_string("%d", F.col("row_id") % 7 + 10), "</ix:nonFraction>", fact("cef:SeniorSecuritiesAmt", "nowhere", "scale='3'"), "1,000</ix:nonFraction>", fact("cef:AnnualCoverageReturnRatePercent", "c0"), "about 5</ix:nonFraction>",
+        "<ix:nonNumeric name='cef:RiskTextBlock' id='b1'><p>Risks of", F.coalesce(F.regexp_replace("series_id", "&", "&amp;"), F.lit("none")), "</p></ix:nonNumeric><ix:nonNumeric name='cef:SecurityTitleTextBlock' id='b2'> </ix:nonNumeric>",
+    ]
+    html = F.concat(F.lit("<html><body>"), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("</body></html>"))
+    return table(spark, d, "fund_periods", "row_id", "series_id").select(F.col("row_id").cast("string").alias("filing_id"), html.alias("html"))
+
+
+_CLASSED = """
+f as (select row_id::varchar as filing_id, row_id, series_id from fund_periods),
+v as (select filing_id, 'management_fee_pct' as field, 'Class I' as share_class, (round((row_id % 300) / 100, 2) / 100)::decimal(38,10)::double as value from f
+  union all select filing_id, 'management_fee_pct', 'Class S Advisory', 0 from f union all select filing_id, 'management_fee_pct', null, 1 from f
+  union all select filing_id, 'sales_load_pct', 'Institutional', -1.5 from f union all select filing_id, 'nav_per_share', null, row_id % 7 + 10 from f)"""
+
+
+@query(f"with {_CLASSED} select *, null::varchar as content from v union all select filing_id, 'leverage_amount', null, 1000000, null from f union all select filing_id, 'risk_factors', null, null, 'Risks of' || coalesce(series_id, 'none') from f")
+def xb_values(spark: SparkSession, d: str) -> DataFrame:
+    """XB-03..08, XB-19, XB-24, XB-25: mapped facts and blocks by field and share class."""
+    stream = materialise(ixbrl.events(_classed(spark, d)), "events")
+    return ixbrl.tagged_values(ixbrl.numeric_facts(stream), ixbrl.text_blocks(stream)).withColumn("value", F.col("value").cast("double"))
+
+
+@query(f"with {_CLASSED} select filing_id, share_class, field, value from v")
+def xb_fee_table(spark: SparkSession, d: str) -> DataFrame:
+    """XB-20: fees by share class and at fund level."""
+    return ixbrl.fee_table(ixbrl.numeric_facts(materialise(ixbrl.events(_classed(spark, d)), "events"))).withColumn("value", F.col("value").cast("double"))
+
+
+@query(f"""with {_CLASSED}, c as (select filing_id, unnest(['Class I', 'Class S Advisory', 'Institutional']) as share_class from f),
+g as (select c.filing_id, share_class, field from c, (select distinct field from v))
+select g.filing_id, g.share_class, g.field, coalesce(v.value, w.value) as value from g left join v on v.filing_id = g.filing_id and v.share_class = g.share_class and v.field = g.field
+left join v w on w.filing_id = g.filing_id and w.field = g.field and w.share_class is null where coalesce(v.value, w.value) is not null""")
+def xb_class_values(spark: SparkSession, d: str) -> DataFrame:
+    """XB-21, XB-22: each detected class's value of each fee, else the fund's."""
+    facts = ixbrl.numeric_facts(materialise(ixbrl.events(_classed(spark, d)), "events"))
+    classes = ixbrl.detected_classes(facts).select("filing_id", F.explode("share_classes").alias("share_class"))
+    return ixbrl.class_value(ixbrl.fee_table(facts), classes).withColumn("value", F.col("value").cast("double"))
+
+
+@query("select row_id::varchar as filing_id, 5::bigint as n_values, 3::bigint as n_by_class, 2::bigint as n_fund_level, 3::bigint as n_classes from fund_periods")
+def xb_summary(spark: SparkSession, d: str) -> DataFrame:
+    """XB-23."""
+    return ixbrl.extraction_summary(ixbrl.numeric_facts(materialise(ixbrl.events(_classed(spark, d)), "events")))
+
+
+def _rendered(spark: SparkSession, d: str) -> DataFrame:
+    """Rendered documents: a cover line, a table of contents with the headings' words, styled headings, a question in a table, a list."""
+    text = F.regexp_replace(F.concat_ws(" ", F.lit("of"), F.coalesce("series_name", F.lit("none"))), "&", "&amp;")
+    toc = "".join(f"<tr><td><b>{t}</b></td><td>{n}</td></tr>" for n, t in enumerate(("Risk Factors", "Fees", "Taxes", "Custodian", "Experts"), 3))
+    parts = [
+        f"<html><head><style>p {{}}</style></head><body><p>FORM N-2</p><p style='font-weight: bold; font-size: 14pt'>PROSPECTUS</p><table>{toc}</table><div>",
+        "<p style='font-weight:bold;font-size:12pt'>Risk Factors</p><p>The risks ", F.repeat(F.concat(text, F.lit(", ")), 9), "end.<p style='font-size:9pt'>More.</p>",
+        "<p><b>Fees and Expenses</b></p><ul><li>Fees ", F.repeat(text, 8), "<li>last</ul><h2>Short</h2>few words",
+        "<table><tr><td style='font-weight:700'>What is the minimum?</td></tr></table><p>A thousand ", F.repeat(text, 8), "</p></div></body></html>",
+    ]
+    html = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return table(spark, d, "fund_periods", "row_id", "series_name").select(F.col("row_id").cast("string").alias("filing_id"), html.alias("html"))
+
+
+_RENDERED = r"(select row_id::varchar as filing_id, 'of ' || coalesce(series_name, 'none') as x from fund_periods)"
+
+
+@query(rf"""
+with p as (select filing_id, unnest([
+  {{'title': 'Risk Factors', 'tag': 'p', 'level': 3, 'content_type': 'text', 'c': 'Risk Factors The risks ' || repeat(x || ', ', 9) || 'end. More.'}},
+  {{'title': 'Fees and Expenses', 'tag': 'p', 'level': 3, 'content_type': 'list', 'c': 'Fees and Expenses Fees ' || repeat(x, 8) || ' last'}},
+  {{'title': 'What is the minimum?', 'tag': 'td', 'level': 4, 'content_type': 'table', 'c': 'What is the minimum? A thousand ' || repeat(x, 8)}}], recursive := true) from {_RENDERED}),
+q as (select * exclude c, trim(regexp_replace(c, '\s+', ' ', 'g')) as content from p)
+select filing_id, title, tag, level::int as level, content_type, content from q where length(content) >= 100""")
+def seg_html(spark: SparkSession, d: str) -> DataFrame:
+    """SEG-09..17: sections of rendered documents by styled headings, without contents entries and cover lines."""
+    return html_sections.heading_sections(_rendered(spark, d)).select("filing_id", "title", "tag", "level", "content_type", "content")
+
+
+def _case_sql(c: str) -> str:
+    return "case " + " ".join(f"when regexp_matches({c}, '{p.removeprefix('(?i)')}', 'i') then '{n}'" for n, p in TITLE_PATTERNS.items()) + " end"
+
+
+@query(f"select chunk_id, {_case_sql('section_title')} as section from chunks")
+def seg_names(spark: SparkSession, d: str) -> DataFrame:
+    """SEG-19, SEG-20: the standard section of a title."""
+    return _chunks(spark, d).select("chunk_id", S.section_name(F.col("section_title")).alias("section"))
+
+
+def _fields_sql(c: str) -> str:
+    tests = [(p.removeprefix("(?i)"), STANDARD_SECTIONS[n][1]) for n, p in TITLE_PATTERNS.items()] + [("(?:" + "|".join(ps) + ")", fields) for ps, fields in taxonomy.HEADING_FIELDS.values()]
+    return "list_concat([]::varchar[], " + ", ".join(f"case when regexp_matches({c}, '{p}', 'i') then {list(fields)} else []::varchar[] end" for p, fields in tests if fields) + ")"
+
+
+@query(f"select chunk_id, array_to_string(list_sort(list_distinct({_fields_sql('section_title')})), ',') as fields from chunks")
+def seg_title_fields(spark: SparkSession, d: str) -> DataFrame:
+    """SEG-18 with the table of standard sections and headings."""
+    return _chunks(spark, d).select("chunk_id", F.array_join(S.target_fields(F.col("section_title"), F.lit(None).cast("string")), ",").alias("fields"))
+
+
+@query(None)
+def seg_standard(spark: SparkSession, d: str) -> DataFrame:
+    """SEG-02, SEG-22: the standard sections of every document."""
+    return S.standard_sections(_docs(spark, d))
+
+
+@query(r"select filing_id, 'Risk Text Block' as title, 'tagged' as source from (select row_id::varchar as filing_id, 'Risks of' || coalesce(series_id, 'none') as c from fund_periods) where length(c) >= 10")
+def pl_sections(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-02, SEG-01: tagged documents through the whole program, to sections."""
+    return filing_program.parse(_classed(spark, d), least=10).sections.where("source = 'tagged'").select("filing_id", "title", "source")
+
+
+@query(None)
+def pl_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """CH-08, CH-10, CH-12, CH-13: rendered documents through the whole program, to chunks with context."""
+    return filing_program.parse(_rendered(spark, d)).chunks
+
+
 # ---------------------------------------------------------------- more sections, retrieval, records
 
 PATTERNS = {"fees": r"(?i)fees and expenses", "risks": r"(?i)risk factors", "repurchase": r"(?i)repurchase", "distribution": r"(?i)distribution policy"}

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import words_to_number
+from ledgerloom.sources import taxonomy
 from ledgerloom.workspace import in_workers
 
 EVENTS = "filing_id string, pos int, kind string, id string, name string, context_ref string, unit string, scale string, sign string, continued_at string, format string, text string"
@@ -105,22 +106,19 @@ def events(filings: DataFrame, key: str = "filing_id", html: str = "html") -> Da
     return in_workers(filings.select(F.col(key).cast("string").alias("filing_id"), F.col(html).alias("html"))).mapInPandas(run, EVENTS)
 
 
-# How a context names a share class, and what looks like one but is none.
-CLASS_PATTERNS = (r"(?i)class\s*_?([A-Z]{1,2})\s*_?advisory(?:shares)?", r"(?i)class\s*_?([A-Z](?:-?[0-9])?)\s*_?(?:shares)?(?:member|\b|_|$)")
-NOT_A_CLASS = r"(?i)(?:risk|sector|industry|geographic|counterparty)"
-
-
 def share_class(c: Column) -> Column:
-    """The share class that a context's id or members name (XB-03..05): `Class I Advisory`, `Class S`; null if none."""
-    adv, plain = (F.regexp_extract(c, p, 1) for p in CLASS_PATTERNS)
-    return F.when(c.rlike(NOT_A_CLASS), None).when(adv != "", F.concat(F.lit("Class "), F.upper(adv), F.lit(" Advisory"))).when(plain != "", F.concat(F.lit("Class "), F.upper(plain)))
+    """The share class that a context's id or a member names (XB-04..06): the first pattern that matches; null if none does or a word vetoes."""
+    veto = F.greatest(*[F.contains(F.upper(c), F.lit(w.upper())) for w in taxonomy.NOT_A_CLASS])
+    named = [F.when(c.rlike(f"(?i){p}"), F.concat(F.lit(before), F.regexp_extract(c, f"(?i){p}", 1), F.lit(after))) for p, before, after in taxonomy.CLASS_PATTERNS]
+    return F.when(~veto, F.coalesce(*named))
 
 
 def contexts(stream: DataFrame) -> DataFrame:
-    """Contexts with period and share class (XB-02): the id decides, else the members."""
+    """Contexts with period and share class (XB-02, XB-03): the id decides, else the first of its explicit members that names one."""
     part = lambda tag: F.nullif(F.regexp_extract("text", rf"(?i){tag}=(\S+)", 1), F.lit(""))
-    members = F.regexp_replace("text", r"(?i)(?:identifier|startdate|enddate|instant)=\S+", "")
-    return stream.where("kind = 'context'").select("filing_id", F.col("id").alias("context_ref"), part("startdate").alias("period_start"), part("enddate").alias("period_end"), part("instant").alias("instant"), F.coalesce(share_class(F.col("id")), share_class(members)).alias("share_class"))
+    members = F.regexp_extract_all("text", F.lit(r"(?i)explicitmember=(\S+)"), F.lit(1))
+    by_member = F.get(F.array_compact(F.transform(members, share_class)), F.lit(0))
+    return stream.where("kind = 'context'").select("filing_id", F.col("id").alias("context_ref"), part("startdate").alias("period_start"), part("enddate").alias("period_end"), part("instant").alias("instant"), F.coalesce(share_class(F.col("id")), by_member).alias("share_class"))
 
 
 def fact_number(text: Column, scale: Column, sign: Column, fmt: Column) -> Column:
@@ -161,10 +159,33 @@ def text_blocks(stream: DataFrame) -> DataFrame:
     return blocks.join(cont, ["filing_id", "continued_at"], "left").select("filing_id", "pos", "id", "name", text.alias("content")).where("content <> ''").unionByName(fee_footnotes(stream))
 
 
-def fee_table(facts: DataFrame, tags: dict[str, str]) -> DataFrame:
-    """Per filing, share class (null: fund level) and field the last value (XB-19, XB-20). tags: tag → field; both levels are kept."""
-    field = F.create_map(*[F.lit(x) for kv in tags.items() for x in kv])[F.regexp_replace("name", "^.*:", "")]
-    return facts.withColumn("field", field).where("field is not null").groupBy("filing_id", "share_class", "field").agg(F.max_by("value", "pos").alias("value"))
+def _mapped(names: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("name")]
+
+
+def tagged_values(facts: DataFrame, blocks: DataFrame, tags: dict[str, str] = taxonomy.TAG_FIELDS, texts: dict[str, str] = taxonomy.TEXT_BLOCKS) -> DataFrame:
+    """Mapped facts and text blocks by field (XB-19, XB-24, XB-25): filing_id, field, share_class (null: fund level), value, content. The last of a field and class decides."""
+    numbers = facts.withColumn("field", _mapped(tags)).where("field is not null").groupBy("filing_id", "field", "share_class").agg(F.max_by("value", "pos").alias("value"))
+    parts = blocks.withColumn("field", _mapped(texts)).where("field is not null").groupBy("filing_id", "field").agg(F.max_by("content", "pos").alias("content"))
+    return numbers.unionByName(parts, allowMissingColumns=True)
+
+
+def fee_table(facts: DataFrame, tags: dict[str, str] = taxonomy.TAG_FIELDS, fields: tuple[str, ...] = taxonomy.CLASS_FEES) -> DataFrame:
+    """Per filing, share class (null: fund level) and fee the last value (XB-20): filing_id, share_class, field, value; both levels are kept."""
+    rows = facts.withColumn("field", _mapped(tags)).where(F.col("field").isin(*fields))
+    return rows.groupBy("filing_id", "share_class", "field").agg(F.max_by("value", "pos").alias("value"))
+
+
+def detected_classes(facts: DataFrame) -> DataFrame:
+    """The share classes that a filing's fees speak of, sorted (XB-21): filing_id, share_classes."""
+    return fee_table(facts).groupBy("filing_id").agg(F.array_sort(F.collect_set("share_class")).alias("share_classes"))
+
+
+def extraction_summary(facts: DataFrame) -> DataFrame:
+    """What was read of a filing's fees (XB-23): filing_id, n_values, n_by_class, n_fund_level, n_classes."""
+    rows = facts.withColumn("field", _mapped(taxonomy.TAG_FIELDS)).where(F.col("field").isin(*taxonomy.CLASS_FEES))
+    own = F.col("share_class").isNotNull()
+    return rows.groupBy("filing_id").agg(F.count("*").alias("n_values"), F.count_if(own).alias("n_by_class"), F.count_if(~own).alias("n_fund_level"), F.countDistinct("share_class").alias("n_classes"))
 
 
 def class_value(fees: DataFrame, classes: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def test_tagged_documents(spark):
     ctx = {r["context_ref"]: r for r in ixbrl.contexts(stream).collect()}
     assert ctx["c2"]["instant"] == "2024-06-30" and ctx["c_ClassISharesMember"]["period_end"] == "2024-12-31"
     assert [r["content"] for r in ixbrl.text_blocks(stream).collect()] == ["First part and more"]
-    fees = ixbrl.fee_table(facts, {"ManagementFeesPercent": "management_fee"})
+    fees = ixbrl.fee_table(facts, {"f:ManagementFeesPercent": "management_fee"}, ("management_fee",))
     classes = spark.createDataFrame([("x", "Class I"), ("x", "Class S")], "filing_id string, share_class string")
     assert sorted((r["share_class"], float(r["value"])) for r in ixbrl.class_value(fees, classes).collect()) == [("Class I", 0.0125), ("Class S", 0.02)]
     assert ixbrl.fund_type(ixbrl.fund_type_flags(stream)).first()["fund_type"] == "interval_fund"
