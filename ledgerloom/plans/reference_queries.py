@@ -21,6 +21,7 @@ from ledgerloom.operators import grounding as G
 from ledgerloom.operators import holdings as H
 from ledgerloom.operators import retrieval as R
 from ledgerloom.operators import sections as S
+from ledgerloom.operators import star
 from ledgerloom.operators import wide as W
 from ledgerloom.plans import data_sql, filing_program
 from ledgerloom.sources import html_sections, taxonomy
@@ -172,6 +173,28 @@ def src_quarters(spark: SparkSession, d: str) -> DataFrame:
     return Q.available_quarters(spark, date(2025, 8, 15))
 
 
+def _holdings(spark: SparkSession, d: str) -> DataFrame:
+    """Holdings made of fund_periods: up to four a filing, of three levels, every other one restricted, the first of them twice."""
+    rows = table(spark, d, "fund_periods", "row_id", "accession_number").select("row_id", "accession_number", F.explode(F.expr("sequence(0, cast(row_id % 4 as int))")).alias("i"))
+    held = rows.select("accession_number", (F.col("row_id") * 10 + F.greatest("i", F.lit(1))).alias("holding_id"), (F.col("row_id") + F.col("i")).cast("decimal(18,2)").alias("currency_value"), (F.col("i") % 3 + 1).cast("string").alias("fair_value_level"), F.when(F.col("i") % 2 == 1, "Y").otherwise("N").alias("is_restricted_security"))
+    return held
+
+
+@query("""
+with f as (select cik, min(name) as fund_name, arg_min(fund_type, coalesce(name, '')) as fund_type from funds where cik is not null and name is not null group by 1 having count(distinct coalesce(fund_type, '')) = 1),
+p as (select cik, quarter, report_date, net_assets, accession_number, (coalesce(sales_flow_mon1, 0) + coalesce(sales_flow_mon2, 0) + coalesce(sales_flow_mon3, 0))::decimal(18,2) as gross_sales, (coalesce(redemption_flow_mon1, 0) + coalesce(redemption_flow_mon2, 0) + coalesce(redemption_flow_mon3, 0))::decimal(18,2) as gross_redemptions from fund_periods),
+h as (select accession_number, row_id * 10 + greatest(i, 1) as holding_id, (row_id + i)::decimal(18,2) as v, i % 3 + 1 as l, i % 2 = 1 as restricted from (select row_id, accession_number, unnest(range(0, (row_id % 4 + 1)::bigint)) as i from fund_periods))
+select p.cik, fund_name, fund_type, quarter, report_date, net_assets, gross_sales, gross_redemptions, (gross_sales - gross_redemptions)::decimal(18,2) as net_flows, count(distinct holding_id) as holdings_count,
+  coalesce(sum(v) filter (where l = 1), 0)::decimal(28,2) as level1_value, coalesce(sum(v) filter (where l = 2), 0)::decimal(28,2) as level2_value, coalesce(sum(v) filter (where l = 3), 0)::decimal(28,2) as level3_value, coalesce(sum(v) filter (where restricted), 0)::decimal(28,2) as restricted_value
+from p join f on f.cik = p.cik left join h on h.accession_number = p.accession_number group by all""")
+def rel_fund_quarters(spark: SparkSession, d: str) -> DataFrame:
+    """REL-14: the quarterly summary of funds (those of one type), periods and holdings."""
+    funds = table(spark, d, "funds", "cik", "name", "fund_type").where("name is not null and cik is not null")
+    one_type = funds.groupBy("cik").agg(F.countDistinct(F.coalesce("fund_type", F.lit(""))).alias("n")).where("n = 1").select("cik")
+    periods = H.net_flows(table(spark, d, "fund_periods")).withColumns({c: F.col(c).cast(DEC) for c in ("gross_sales", "gross_redemptions", "net_flows")})
+    return star.fund_quarter_summary(funds.join(one_type, "cik", "left_semi"), periods, _holdings(spark, d))
+
+
 # ---------------------------------------------------------------- retrieval
 
 
