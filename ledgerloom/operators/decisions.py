@@ -133,3 +133,9 @@ def first_of_tiers(tiers: list[tuple[str, DataFrame]], keys: list[str]) -> DataF
 def log_summary(log: DataFrame, layer: str, decision: str) -> DataFrame:
     """Entries by layer and decision with totals of each and of all (EN-14, EN-37), in one pass."""
     return log.cube(layer, decision).agg(F.count("*").alias("n"), F.grouping_id().cast("bigint").alias("grouping_level"))
+
+
+def count_confidence(fields: DataFrame, by: list[str], confidence: str = "confidence") -> DataFrame:
+    """How many fields are explicit, inferred and not found (SC-19), whatever the case; a confidence that states nothing counts as not found."""
+    said = F.lower(F.trim(F.coalesce(stated(F.col(confidence)), F.lit("not_found"))))
+    return fields.groupBy(*by).agg(*[F.count_if(said == c).alias(f"n_{c}") for c in ("explicit", "inferred", "not_found")])

@@ -17,6 +17,7 @@ from ledgerloom.functions.text import cik_key, quarter_label, token_of
 from ledgerloom.operators import chunker
 from ledgerloom.operators import decisions as D
 from ledgerloom.operators import evaluation as E
+from ledgerloom.operators import examples, field_checks
 from ledgerloom.operators import grounding as G
 from ledgerloom.operators import holdings as H
 from ledgerloom.operators import retrieval as R
@@ -47,6 +48,7 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 
 
 DEC = "decimal(18,2)"
+_ONE_WORD = "map {" + ", ".join(f"'{k}': {float(v)}::double" for k, v in (T.NUMBER_WORDS | T.SCALE_WORDS | N.OTHER_NUMBER_WORDS).items()) + "}"
 
 # ---------------------------------------------------------------- holdings
 
@@ -552,6 +554,47 @@ def gr_confidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "leverage_limits", "extraction_id", "confidence", "citation").select("extraction_id", c.alias("confidence")).withColumn("level", G.level(F.col("confidence")))
 
 
+@query("""
+select extraction_id, case when s = 'interval_fund' then case when contains(c, 'interval') then 'verified' else 'unverified' end when s = 'tender_offer_fund' then case when contains(c, 'tender') then 'verified' else 'unverified' end end as status
+from (select extraction_id, lower(trim(fund_structure)) as s, lower(coalesce(citation, '')) as c from repurchase_terms)""")
+def gr_structure(spark: SparkSession, d: str) -> DataFrame:
+    """GR-07: the structure of a fund against the words of its citation."""
+    rows = table(spark, d, "repurchase_terms", "extraction_id", "fund_structure", "citation")
+    values = rows.select("extraction_id", F.lit("repurchase_terms").alias("field_group"), F.lit("fund_structure").alias("field"), F.col("fund_structure").alias("value"), F.col("citation").alias("source"))
+    return field_checks.check_fields(values).select("extraction_id", "status")
+
+
+@query("""
+select doc_id, case when contains(t, 'interval fund') or contains(t, 'rule 23c-3') then 'interval_fund' when contains(t, 'tender offer') then 'tender_offer_fund' else 'unknown' end as fund_structure,
+  contains(t, 'underlying fund') or contains(t, 'acquired fund') or contains(t, 'affe') as is_fund_of_funds, contains(t, 'no limit') or contains(t, 'no restriction') or contains(t, 'unlimited') as has_no_limit_language,
+  regexp_matches(t, '[1-9]%|[1-9][0-9]%') as has_explicit_percentages from (select doc_id, lower(coalesce(text, '')) as t from documents)""")
+def rt_characteristics(spark: SparkSession, d: str) -> DataFrame:
+    """RT-49."""
+    return _docs(spark, d).select("doc_id", examples.characteristics(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
+@query(f"""
+select method, count(*) filter (where c = 'explicit') as n_explicit, count(*) filter (where c = 'inferred') as n_inferred, count(*) filter (where c = 'not_found') as n_not_found
+from (select method, case when confidence is null or lower(trim(confidence)) in {data_sql._NULLS} then 'not_found' else lower(trim(confidence)) end as c from leverage_limits) group by 1""")
+def sc_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """SC-19."""
+    return D.count_confidence(table(spark, d, "leverage_limits", "method", "confidence"), ["method"])
+
+
+@query(rf"""
+with v as (select extraction_id, trim(max_leverage_pct) as v from leverage_limits where max_leverage_pct is not null and lower(trim(max_leverage_pct)) not in {data_sql._NULLS}),
+w as (select *, string_split_regex(lower(v), '[ -]+') as p, regexp_replace(regexp_replace(v, '^[$€£] *', ''), ' *dollars?$', '', 'i') as b from v),
+x as (select *, case when regexp_matches(b, '(million|mm|m)$', 'i') then 1e6 when regexp_matches(b, '(billion|b)$', 'i') then 1e9 when regexp_matches(b, '(thousand|k)$', 'i') then 1e3 else 1 end as f,
+  trim(replace(replace(regexp_replace(b, ' *(million|mm|m|billion|b|thousand|k)$', ''), ',', ''), '%', '')) as c from w),
+y as (select *, coalesce(nullif(regexp_extract(c, '^([0-9.]+)( *[-–—] *| +to +)[0-9.]+', 1), ''), c) as n from x)
+select extraction_id, coalesce({_ONE_WORD}[lower(v)], case when len(p) = 2 and {_ONE_WORD}[p[1]] between 20 and 99 and {_ONE_WORD}[p[2]] < 10 then {_ONE_WORD}[p[1]] + {_ONE_WORD}[p[2]] when len(p) = 2 and {_ONE_WORD}[p[2]] in (100, 1000, 1e6, 1e9) then {_ONE_WORD}[p[1]] * {_ONE_WORD}[p[2]] end,
+  case when regexp_full_match(n, '[+-]?([0-9]+|[0-9]+[.][0-9]*|[.][0-9]+)') then n::double end * f, try_cast(replace(nullif(regexp_extract(v, '([0-9,]+[.]?[0-9]*)', 1), ''), ',', '') as double) * f) as number from y
+union all select extraction_id, null from leverage_limits where max_leverage_pct is null or lower(trim(max_leverage_pct)) in {data_sql._NULLS}""")
+def sc_numeric(spark: SparkSession, d: str) -> DataFrame:
+    """SC-01, SC-02 on limits as extracted."""
+    return table(spark, d, "leverage_limits", "extraction_id", "max_leverage_pct").select("extraction_id", N.numeric_text(F.col("max_leverage_pct")).alias("number"))
+
+
 # ---------------------------------------------------------------- decisions, rules, logs
 
 _FIELDS = ["repurchase_percentage_min", "repurchase_percentage_max", "notice_period_days", "early_repurchase_fee_pct"]
@@ -643,7 +686,6 @@ def _cells_sql(where: str) -> str:
 
 
 _SAME = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in Y.VALUES.items()) + "}"
-_ONE_WORD = "map {" + ", ".join(f"'{k}': {float(v)}::double" for k, v in (T.NUMBER_WORDS | T.SCALE_WORDS | N.OTHER_NUMBER_WORDS).items()) + "}"
 
 
 def _judged_sql(where: str = "expected_type is not null") -> str:
