@@ -133,4 +133,14 @@ def p5_wide(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumn("cast_failures", F.array_join(F.array_sort(F.transform(F.map_entries("cast_failures"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_harmonised, p1_inferred, p3_found, p3_bodies, p3_fields, p3_share_classes, p3_funds, p3_errors, p3_field_results, p3_fund_lists, p3_members, p4_found, p4_report, p5_found, p5_wide)}
+def p5_failures(spark: SparkSession, d: str) -> DataFrame:
+    """What the wide table could not take: values that cannot be read as their type, and how many attributes have no column."""
+    return p5_wide(spark, d).select("filing_id", "cast_failures", "n_unknown")
+
+
+def p5_others(spark: SparkSession, d: str) -> DataFrame:
+    """The attributes outside the catalog, in rows."""
+    return wide.others(_expected(spark, d), wide.catalog_of(table(spark, d, "field_catalog")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_harmonised, p1_inferred, p3_found, p3_bodies, p3_fields, p3_share_classes, p3_funds, p3_errors, p3_field_results, p3_fund_lists, p3_members, p4_found, p4_report, p5_found, p5_wide, p5_failures, p5_others)}

@@ -48,6 +48,16 @@ read as (select filing_id, path, case value_type
   else regexp_replace(l, '[ _-]+', '_', 'g') end as cell from valued)
 select filing_id, path as field_path, cell from read where cell is not null"""
 
+# All cells with what they were read from, also those of records; and the rows of attributes outside the catalog.
+_P5_ALL = _P5[: _P5.index("select filing_id, path as field_path, cell from read")].replace(" where value_type <> 'records'", "").replace("select filing_id, path, value_type, trim(expected) as e\n", "select filing_id, path, value_type, trim(expected) as e, expected as raw\n").replace(
+    "select filing_id, path, value_type, trim(case", "select filing_id, path, value_type, raw, trim(case").replace("read as (select filing_id, path,", "read as (select filing_id, path, raw,").replace(
+    "else regexp_replace(l, '[ _-]+', '_', 'g') end as cell", "when 'records' then case when json_valid(v) and regexp_matches(v, '^[ \t\n]*[\\[{{]') then v end else regexp_replace(l, '[ _-]+', '_', 'g') end as cell")
+_UNKNOWN = f"select * from expected_fields x where {_PATH.format('x.field_path')} not in (select k from names) or field_path is null"
+_OTHERS = f"{_P5_ALL}, rest as ({_UNKNOWN}) select filing_id, field_path, expected as value from rest qualify row_number() over (partition by filing_id, field_path order by updated_at desc nulls last, gt_row_id desc) = 1"
+_FAILURES = f"""{_P5_ALL}, rest as (select filing_id, count(distinct coalesce(field_path, chr(1))) as n from ({_UNKNOWN}) group by 1),
+bad as (select filing_id, string_agg(path || '=' || raw, ';' order by path || '=' || raw) as f from read where cell is null group by 1)
+select filing_id, coalesce(f, '') as cast_failures, coalesce(n, 0) as n_unknown from (select distinct filing_id from expected_fields) left join bad using (filing_id) left join rest using (filing_id)"""
+
 _WORDS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
 _MAP = "map {" + ", ".join(f"'{w}': {n}" for w, n in _WORDS.items()) + "}"
 
@@ -162,4 +172,6 @@ SQL: dict[str, str] = {
     "p4_found": _P4,
     "p4_report": f"select table_name, period, orphan_kind, count(*) as n from ({_P4}) group by all",
     "p5_found": _P5,
+    "p5_others": _OTHERS,
+    "p5_failures": _FAILURES,
 }
