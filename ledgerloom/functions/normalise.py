@@ -124,10 +124,16 @@ def lists_match(got: Column, want: Column, mode: Column) -> Column:
 
 
 def glob(c: Column, pattern: str) -> Column:
-    """A path matches a pattern in which `*` stands for anything (SC-41, SC-42)."""
-    import re
+    """A path matches a pattern, whatever the case (SC-41, SC-42): a star at an end stands for anything there, without one the path has to contain it.
 
-    return c.rlike("^" + "".join(".*" if ch == "*" else re.escape(ch) for ch in pattern) + "$")
+    Stars elsewhere are characters like others.
+    """
+    low, p = F.lower(c), pattern.lower()
+    head, tail = p.startswith("*"), p.endswith("*")
+    core = F.lit(p[1 if head else 0 : len(p) - 1 if tail and len(p) > 1 else len(p)])
+    if head == tail:
+        return F.contains(low, core)
+    return F.endswith(low, core) if head else F.startswith(low, core)
 
 
 def focus(text: Column, value: Column, around: int = 400, head: int = 800) -> Column:

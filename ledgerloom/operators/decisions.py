@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.normalise import comparable, values_match
+from ledgerloom.functions.normalise import comparable, glob, values_match
 from ledgerloom.functions.once import computed_once
 from ledgerloom.functions.text import stated
 
@@ -139,3 +139,68 @@ def count_confidence(fields: DataFrame, by: list[str], confidence: str = "confid
     """How many fields are explicit, inferred and not found (SC-19), whatever the case; a confidence that states nothing counts as not found."""
     said = F.lower(F.trim(F.coalesce(stated(F.col(confidence)), F.lit("not_found"))))
     return fields.groupBy(*by).agg(*[F.count_if(said == c).alias(f"n_{c}") for c in ("explicit", "inferred", "not_found")])
+
+
+# Fields for which the first of two methods is preferred, and the second.
+FIRST_PREFERRED = (
+    "incentive_fee.has_incentive_fee", "incentive_fee.high_water_mark", "incentive_fee.has_catch_up", "expense_cap.has_expense_cap", "leverage_limits.uses_leverage",
+    "share_classes.distribution_fee_pct", "distribution_terms.distribution_frequency", "repurchase_terms.lock_up_period_years", "incentive_fee.underlying_fund_incentive_range",
+)
+FIRST_IF_CONTAINED = "distribution_fee_pct"
+SECOND_PREFERRED = ("incentive_fee.hurdle_rate_as_stated", "incentive_fee.hurdle_rate_frequency", "leverage_limits.leverage_basis", "leverage_limits.max_leverage_pct", "repurchase_terms.repurchase_basis")
+# Patterns of fields that each method reads better, tried in this order.
+ROUTES = {"t3_k10": ("has_*", "*_policy", "*_basis", "fund_type", "default_*"), "reranker": ("share_classes.*minimum*", "*expense_cap_pct", "distribution_frequency", "leverage_basis")}
+
+
+def preferred_side(field: Column) -> Column:
+    """Which of two methods a field prefers (EN-05, EN-06): `left`, `right` or null."""
+    return F.when(field.isin(*FIRST_PREFERRED) | F.contains(field, F.lit(FIRST_IF_CONTAINED)), "left").when(field.isin(*SECOND_PREFERRED), "right")
+
+
+def route_by_field(aligned: DataFrame, escalate: bool = True) -> DataFrame:
+    """Settles disagreements by the method that the field prefers (EN-04): adds routed_value, route, escalated.
+
+    The preferred method's value, else the other's; if both are null it is escalated. A field without preference is escalated, or takes the
+    left value, else the right, if `escalate` is off.
+    """
+    l, r, side = stated(F.col("left_value")), stated(F.col("right_value")), preferred_side(F.col("field_path"))
+    by_side = F.when(side == "left", F.coalesce(l, r)).when(side == "right", F.coalesce(r, l))
+    open_ = F.lit(None).cast("string") if escalate else F.coalesce(l, r)
+    value = F.when(side.isNotNull(), by_side).otherwise(open_)
+    taken = lambda a, b, name: F.when(a.isNotNull(), f"{name}_preferred").when(b.isNotNull(), f"{name}_fallback").otherwise("both_null")
+    route = F.when(side == "left", taken(l, r, "left")).when(side == "right", taken(r, l, "right")).otherwise("disagreement" if escalate else F.when(l.isNotNull(), "left").when(r.isNotNull(), "right").otherwise("none"))
+    return aligned.withColumns({"routed_value": value, "route": route, "escalated": route.isin("both_null", "disagreement")})
+
+
+def method_for(field: Column, default: str = "t3_k10", routes: dict[str, tuple[str, ...]] = ROUTES) -> Column:
+    """The method that reads a field best by its name (EN-17, EN-18): the first with a matching pattern, else the default."""
+    return F.coalesce(*[F.when(F.greatest(*[glob(field, p) for p in patterns], F.lit(False)), method) for method, patterns in routes.items()], F.lit(default))
+
+
+def validated_classes(extracted: DataFrame, discovered: DataFrame, key: str) -> DataFrame:
+    """Extracted share classes beside those discovered (EN-11): adds is_validated (one name contains the other, whatever the case).
+
+    extracted: key, class_name and whatever else; discovered: key, class_name. Unnamed classes are contained in every discovered name. A record's
+    discovered names are one small array, so each extracted row meets one row.
+    """
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    names = discovered.where("class_name is not null").groupBy(key).agg(F.collect_set(low(F.col("class_name"))).alias("__names"))
+    own = low(F.col("class_name"))
+    return extracted.join(names, key, "left").withColumn("is_validated", F.coalesce(F.exists("__names", lambda n: F.contains(n, own) | F.contains(own, n)), F.lit(False))).drop("__names")
+
+
+# What an agent can do, in the order in which a misspelt action is matched.
+ACTIONS = ("search_keywords", "search_regex", "search_semantic", "get_context", "get_structure", "evaluate_retrieval", "extract", "validate", "stop_success", "stop_not_found")
+
+
+def agent_steps(responses: DataFrame, response: str = "response") -> DataFrame:
+    """An agent's answers as steps (LL-24): adds action, action_input (JSON), thought. An answer that is no object, or has no action, has none.
+
+    An action is trimmed and lowered; one that is not known becomes the first known one that contains it or that it contains, else there is none.
+    """
+    part = lambda name: F.get_json_object(response, f"$.{name}")
+    said = F.lower(F.trim(part("action")))
+    near = F.coalesce(*[F.when(F.contains(said, F.lit(a)) | F.contains(F.lit(a), said), a) for a in ACTIONS])
+    action = F.when(said.isin(*ACTIONS), said).otherwise(near)
+    known = action.isNotNull()
+    return responses.withColumns({"action": action, "action_input": F.when(known, F.coalesce(part("action_input"), F.lit("{}"))), "thought": F.when(known, F.coalesce(part("thought"), F.lit("No reasoning provided")))})

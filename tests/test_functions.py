@@ -52,7 +52,9 @@ def test_matching(spark):
 def test_labels_and_paths(spark):
     assert values(spark, N.class_label(F.col("a")), ["i shares", "Class S Shares", "d"]) == ["Class I", "Class S", "Class D"]
     assert values(spark, N.class_key(F.col("a")), [" Class I Shares", "I"]) == ["class i", "i"]
-    assert values(spark, N.glob(F.col("a"), "share_classes.*minimum*"), ["share_classes.x_minimum_y", "fees.minimum", None]) == [True, False, None]
+    globs = {"has_*": [True, False, None], "*_POLICY": [False, True, None], "*policy*": [True, True, None], "policy": [True, True, None], "x.*y": [False, False, None]}
+    for pattern, want in globs.items():
+        assert values(spark, N.glob(F.col("a"), pattern), ["Has_policy_x", "default_policy", None]) == want
     assert values(spark, S.camel_words(F.col("a")), ["FeeTableTextBlock"]) == ["Fee Table Text Block"]
     assert values(spark, S.titles_similar(F.col("a"), F.lit("Risk Factors")), ["RISK-FACTORS (cont.)", "123", None]) == [True, False, False]
     assert values(spark, S.content_type(F.col("a")), ["a | b | c", "- x", "plain", "<table><ul>"]) == ["table", "list", "text", "mixed"]
