@@ -71,10 +71,10 @@ def read_value(kind: str, v: Column) -> Column:
     return F.when(~states_nothing(v), read)
 
 
-def resolve(rows: DataFrame, catalog: list[Attribute], entity: str = "filing_id") -> DataFrame:
+def resolve(rows: DataFrame, catalog: list[Attribute], entity: str = "filing_id", latest: bool = True) -> DataFrame:
     """One row per entity and attribute, the latest version: entity, place (in the catalog; null: none), path_raw (of those), value.
 
-    The latest `updated_at` decides (null is earliest), then the greater `gt_row_id`; the paths of unknown
+    The latest `updated_at` decides (null is earliest), then the greater `gt_row_id`; the first version does without `latest`. The paths of unknown
     attributes stay apart by `path_raw`. The maximum is taken before and after the shuffle, so a hot entity or attribute
     arrives as at most one row per task and cell, and a known path travels as its place.
     """
@@ -83,10 +83,10 @@ def resolve(rows: DataFrame, catalog: list[Attribute], entity: str = "filing_id"
     place = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[key] if names else F.lit(None).cast("int")
     version = F.struct(F.coalesce(F.col("updated_at").cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")).alias("at"), F.col("gt_row_id").alias("n"), F.col("expected").alias("value"))
     rows = rows.select(F.col(entity), place.alias("place"), F.when(place.isNull(), F.col("field_path")).alias("path_raw"), version.alias("v"))
-    return rows.groupBy(entity, "place", "path_raw").agg(F.max("v").alias("v")).select(entity, "place", "path_raw", F.col("v.value").alias("value"))
+    return rows.groupBy(entity, "place", "path_raw").agg((F.max("v") if latest else F.min("v")).alias("v")).select(entity, "place", "path_raw", F.col("v.value").alias("value"))
 
 
-def widen(rows: DataFrame, catalog: list[Attribute], entity: str = "filing_id") -> DataFrame:
+def widen(rows: DataFrame, catalog: list[Attribute], entity: str = "filing_id", latest: bool = True) -> DataFrame:
     """One row per entity: a typed column per attribute (`a.b` as `a__b`), `cast_failures` and `n_unknown`.
 
     `cast_failures` maps the path of each value that states something but cannot be read as its type to that value; a number of
@@ -94,7 +94,7 @@ def widen(rows: DataFrame, catalog: list[Attribute], entity: str = "filing_id")
     outside the catalog, which `others` returns. An entity whose rows all give no value has a row of nulls; rows with a null
     entity make a row with a null key. An empty input gives no rows.
     """
-    cells = resolve(rows, catalog, entity)
+    cells = resolve(rows, catalog, entity, latest)
     kind = F.create_map(*[F.lit(x) for i, a in enumerate(catalog) for x in (i, a.kind)])[F.col("place")] if catalog else F.lit(None).cast("string")
     cells = computed_once(cells, {"kind": kind, "text": unquoted(F.col("value"))})
     typed = {k: F.when(F.col("kind") == k, read_value(k, F.col("text"))) for k in ("boolean", "number", "text", "records")}

@@ -621,6 +621,17 @@ def en_decide(spark: SparkSession, d: str) -> DataFrame:
     return both.select("filing_id", "field_path", "reason", F.col("final_value").cast("double").alias("final_value"))
 
 
+@query("""
+select gt_row_id, case when starts_with(f, 'has_') or ends_with(f, '_policy') or ends_with(f, '_basis') or contains(f, 'fund_type') or starts_with(f, 'default_') then 't3_k10'
+  when starts_with(f, 'share_classes.*minimum') or ends_with(f, 'expense_cap_pct') or contains(f, 'distribution_frequency') or contains(f, 'leverage_basis') then 'reranker' else 't3_k10' end as method,
+  case when field_path in """ + str(D.FIRST_PREFERRED) + """ or contains(field_path, 'distribution_fee_pct') then 'left' when field_path in """ + str(D.SECOND_PREFERRED) + """ then 'right' end as side
+from (select gt_row_id, field_path, lower(field_path) as f from expected_fields)""")
+def en_methods(spark: SparkSession, d: str) -> DataFrame:
+    """EN-05, EN-06, EN-18: which method reads a field best."""
+    f = F.col("field_path")
+    return table(spark, d, "expected_fields", "gt_row_id", "field_path").select("gt_row_id", D.method_for(f).alias("method"), D.preferred_side(f).alias("side"))
+
+
 @query("""
 select extraction_id, unnest([{'field_path': 'leverage_basis', 'value': case when uses_leverage is false then null else leverage_basis end, 'gated': uses_leverage is false and leverage_basis is not null},
   {'field_path': 'max_leverage_pct', 'value': case when uses_leverage is false then null else max_leverage_pct end, 'gated': uses_leverage is false and max_leverage_pct is not null},
@@ -670,21 +681,25 @@ def lg_carried(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- evaluation
 
 
-def _cells(spark: SparkSession, d: str, where: str | None = None) -> DataFrame:
+def _cells(spark: SparkSession, d: str, where: str | None = None, latest: bool = True) -> DataFrame:
     rows = table(spark, d, "expected_fields", "gt_row_id", "filing_id", "field_path", "expected", "updated_at", "expected_type", "match_mode")
     catalog = W.catalog_of(table(spark, d, "field_catalog"))
-    return W.cells_of(W.widen(rows.where(where) if where else rows, catalog), catalog).withColumnRenamed("cell", "value")
+    return W.cells_of(W.widen(rows.where(where) if where else rows, catalog, latest=latest), catalog).withColumnRenamed("cell", "value")
 
 
 def _judged(spark: SparkSession, d: str, where: str = "expected_type is not null") -> DataFrame:
-    """The values of the typed rows held against those of all rows."""
-    return E.judge(_cells(spark, d, where), _cells(spark, d), ["filing_id", "field_path"])
+    """The first versions of the typed rows held against the last of all rows: corrections are wrong values, withdrawn ones hallucinated."""
+    return E.judge(_cells(spark, d, where, latest=False), _cells(spark, d), ["filing_id", "field_path"])
 
 
 def _cells_sql(where: str) -> str:
     return data_sql._P5.replace("from expected_fields x", f"from (select * from expected_fields where {where}) x")
 
 
+def _first_cells_sql(where: str) -> str:
+    return _cells_sql(where).replace("order by updated_at desc nulls last, gt_row_id desc", "order by updated_at nulls first, gt_row_id")
+
+
 _SAME = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in Y.VALUES.items()) + "}"
 
 
@@ -696,7 +711,7 @@ def _judged_sql(where: str = "expected_type is not null") -> str:
     return f"""(select *, case when correct then 'correct' when extracted is not null and expected is not null then 'wrong_value' when expected is not null then 'missed' else 'hallucinated' end as error_type from
   (select filing_id, field_path, expected, extracted, case when expected is null or extracted is null then coalesce(expected, extracted, 'false') = 'false'
     when ne is not null then coalesce(abs(nx - ne) <= 0.01 + 1e-12, false) else nx is null and coalesce({_SAME}[expected], expected) = coalesce({_SAME}[extracted], extracted) end as correct
-   from (select filing_id, field_path, e.cell as expected, p.cell as extracted, {number("e.cell")} as ne, {number("p.cell")} as nx from ({_cells_sql("true")}) e full join ({_cells_sql(where)}) p using (filing_id, field_path))))"""
+   from (select filing_id, field_path, e.cell as expected, p.cell as extracted, {number("e.cell")} as ne, {number("p.cell")} as nx from ({_cells_sql("true")}) e full join ({_first_cells_sql(where)}) p using (filing_id, field_path))))"""
 
 
 def _metrics_sql(by: str, where: str = "expected_type is not null") -> str:
