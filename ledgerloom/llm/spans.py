@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.workspace import materialise
+from ledgerloom.workspace import in_workers, materialise
 
 #: Characters that a common stretch has at least.
 LEAST = 200
@@ -269,7 +269,7 @@ def anchor_parts(documents: DataFrame, least: int = LEAST) -> DataFrame:
     size = block_size(least)
     half = -(-size // 2)
     texts = documents.where(F.char_length("text") >= least).select(F.col("doc_id").cast("bigint"), "text")
-    picked = texts.mapInArrow(lambda it: _select(it, size, least), PICKS)
+    picked = in_workers(texts).mapInArrow(lambda it: _select(it, size, least), PICKS)
     phase = F.pmod("pos", F.lit(size))
     bit = lambda low: F.bit_or(F.when((F.col("kind") != DIRECT) & (phase >= low) & (phase < low + half if low == 0 else phase < size), F.call_function("shiftleft", F.lit(1).cast("bigint"), (phase - low).cast("int"))).otherwise(F.lit(0).cast("bigint")))
     # Counted before the shuffle too, so a hash that a third of all texts have is one row per task.
@@ -369,11 +369,22 @@ def text_links(documents: DataFrame, least: int = LEAST) -> DataFrame:
     return members.join(both.groupBy("class_id").agg(F.count("*").alias("n_links")), "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+STRETCHES = "hash bigint, doc_id bigint, pos int, length int"
+
+
 def _long_windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The windows of `least` characters of each region; equal ones that touch or overlap, as in a run, are one stretch."""
     for b in batches:
         for doc, pos, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             h = window_hashes(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), least).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), doc, np.int64)), pa.array(np.arange(pos, pos + len(h), dtype=np.int32))], names=["hash", "doc_id", "pos"])
+            order = np.argsort(h, kind="stable")
+            key, at = h[order], order
+            first = np.ones(len(key), bool)
+            first[1:] = (key[1:] != key[:-1]) | (np.diff(at) > least)
+            begin = np.flatnonzero(first)
+            end = np.append(begin[1:], len(at)) - 1
+            start, length = pos + at[begin], at[end] - at[begin] + least
+            yield pa.RecordBatch.from_arrays([pa.array(key[begin]), pa.array(np.full(len(begin), doc, np.int64)), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))], names=["hash", "doc_id", "pos", "length"])
 
 
 def shared_amounts(documents: DataFrame, least: int = LEAST) -> DataFrame:
@@ -381,15 +392,17 @@ def shared_amounts(documents: DataFrame, least: int = LEAST) -> DataFrame:
 
     A character is shared if it lies in a stretch of `least` characters that another document has too. In time linear in what is
     shared, without pairs: within the regions around shared hashes, every window of `least` characters that two documents hold
-    is marked, and marks are united per document. Every document has a row: null texts with null n_chars and 0 shared.
+    is marked, and marks are united per document, sorted and not collected. Every document has a row: null texts with null n_chars and 0 shared.
     """
     parts = anchor_parts(documents, least).where(F.col("kind") == REGION).select("doc_id", "pos", "text")
-    long = materialise(parts.mapInArrow(lambda it: _long_windows(it, least), "hash bigint, doc_id bigint, pos int"), "windows")
+    long = materialise(in_workers(parts).mapInArrow(lambda it: _long_windows(it, least), STRETCHES), "windows")
     held = long.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("hash")
-    # Neighbouring marks overlap: each adds the distance to its predecessor, at most `least`. Sorted, with spilling, not collected.
-    marks = long.join(held, "hash", "left_semi").select("doc_id", "pos", F.lag("pos").over(Window.partitionBy("doc_id").orderBy("pos")).alias("prior"))
-    gap = F.col("pos") - F.col("prior")
-    amounts = marks.groupBy("doc_id").agg(F.sum(F.coalesce(F.least(gap, F.lit(least)), F.lit(least))).cast("int").alias("shared_chars"), F.count_if(F.coalesce(gap > least, F.lit(True))).cast("int").alias("n_spans"))
+    # Stretches by their start: each adds what reaches beyond all before it, and begins a span if it starts beyond them.
+    end = F.col("pos") + F.col("length")
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    marks = long.join(held, "hash", "left_semi").select("doc_id", "pos", end.alias("end"), F.max(end).over(before).alias("reached"))
+    added = F.greatest(F.lit(0), F.col("end") - F.greatest("pos", "reached"))
+    amounts = marks.groupBy("doc_id").agg(F.sum(added).cast("int").alias("shared_chars"), F.count_if(F.col("reached").isNull() | (F.col("pos") > F.col("reached"))).cast("int").alias("n_spans"))
     out = documents.select("doc_id", F.char_length("text").alias("n_chars")).join(amounts, "doc_id", "left")
     shared = F.coalesce("shared_chars", F.lit(0))
     return out.select("doc_id", "n_chars", shared.alias("shared_chars"), F.when(F.col("n_chars") > 0, shared / F.col("n_chars")).otherwise(0.0).alias("shared_ratio"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"))
