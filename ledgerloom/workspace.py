@@ -7,6 +7,7 @@ names in `spark.checkpoint.dir`; only where that is unset (tests, a laptop) a lo
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -43,8 +44,15 @@ _written: list[str] = []
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write `df` to the shared folder as Parquet and return the written table, which cuts its lineage. `discard` removes it."""
+    """Write `df` to the shared folder as Parquet and return the written table, which cuts its lineage. `discard` removes it.
+
+    Spark deletes the shuffle files of a plan when the driver has collected what refers to it. Before another table is written both
+    collectors are asked to, so that the files of plans that an earlier table has cut do not add up on the executors' disks.
+    """
     spark = df.sparkSession
+    if _written:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
