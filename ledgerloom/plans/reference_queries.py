@@ -287,6 +287,27 @@ def rt_dense_top(spark: SparkSession, d: str) -> DataFrame:
     return R.dense_top_k(v, v.where("vec_id % 20 = 0"), 10)
 
 
+_DENSE = SQL["rt_dense_top"]
+
+
+@query(f"""
+with t as (select doc_id, label, (contains(x, 'repurchase')::int + contains(x, 'offer')::int) * case when contains(x, 'repurchase offer') then 5 else 1 end as score from (select doc_id, lower(coalesce(text, '')) as x from documents) join embeddings on vec_id = doc_id),
+k as (select label, doc_id, row_number() over (partition by label order by score desc, doc_id) as rank from t where score > 0 qualify rank <= 10),
+a as (select vec_id as query_id, k.doc_id, k.rank from embeddings join k using (label) where vec_id % 20 = 0),
+b as (select query_id, vec_id as doc_id, rank from ({_DENSE}))
+select query_id, doc_id, round(1.0::double / (60 + coalesce(a.rank, 1000)) + 1.0::double / (60 + coalesce(b.rank, 1000)), 9) as rrf, case when a.rank is null then 'right_only' when b.rank is null then 'left_only' else 'both' end as found_by
+from a full join b using (query_id, doc_id)""")
+def rt_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """RT-12, RT-27: a keyword list of the query's label and the dense list of every query row, fused."""
+    v = table(spark, d, "embeddings", "vec_id", "embedding", "label")
+    scored = _docs(spark, d).withColumn("score", R.query_score(F.col("text"), "repurchase offer")).join(v.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").where("score > 0")
+    best = R.top_k(scored.select("label", "doc_id", "score"), ["label"], [F.desc("score"), F.col("doc_id")], 10)
+    queries = v.where("vec_id % 20 = 0")
+    keyword = queries.select(F.col("vec_id").alias("query_id"), "label").join(best, "label").select("query_id", "doc_id", "rank")
+    dense = R.dense_top_k(v.select("vec_id", "embedding"), queries.select("vec_id", "embedding"), 10).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    return R.fuse_two(keyword, dense, ["query_id", "doc_id"]).select("query_id", "doc_id", F.round("rrf", 9).alias("rrf"), "found_by")
+
+
 @query("""
 with c as (select label, list_transform(range(1, 65), lambda i: avg_at[i]) as m from (select label, [""" + ", ".join(f"round(avg(embedding[{i}]::double), 4)" for i in range(1, 65)) + """] as avg_at from embeddings group by label)),
 d as (select vec_id, c.label as cluster, round(list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::double - m[i]) * (embedding[i]::double - m[i]))), 6) as distance from embeddings, c)
