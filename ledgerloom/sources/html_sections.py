@@ -61,6 +61,7 @@ class Tree(HTMLParser):
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.texts: list[str] = []
+        self.contents: dict[int, bool] = {}
         self.root = self.at = Node("", {}, None, 0)
         self.feed(html)
         self.close()
@@ -103,6 +104,16 @@ class Tree(HTMLParser):
         """An element's texts, each without white space at its ends, put together."""
         return "".join(t.strip() for t in self.texts[node.start : node.end])
 
+    def short(self, node: Node, most: int) -> str | None:
+        """`joined` if it is shorter than `most` characters, else None, without going through all of it."""
+        parts, n = [], 0
+        for i in range(node.start, node.end):
+            parts.append(self.texts[i].strip())
+            n += len(parts[-1])
+            if n >= most:
+                return None
+        return "".join(parts)
+
     def spaced(self, start: int, end: int) -> str:
         """Texts with a blank between, runs of white space as one."""
         return re.sub(r"\s+", " ", " ".join(self.texts[start:end])).strip()
@@ -136,6 +147,12 @@ def contents_entry(tree: Tree, node: Node) -> bool:
     table = node.up("table")
     if table is None:
         return False
+    if id(table) not in tree.contents:
+        tree.contents[id(table)] = _lists_contents(tree, table)
+    return tree.contents[id(table)]
+
+
+def _lists_contents(tree: Tree, table: Node) -> bool:
     body = next((x for x in table.below() if x.tag == "tbody"), table)
     rows = [x for x in body.children if x.tag == "tr"]
     if len(rows) < 5:
@@ -168,10 +185,10 @@ def headings(tree: Tree) -> list[tuple[Node, int, str]]:
             found.append((x, level, text))
 
     for x in nodes:
-        if x.tag in ("p", "div", "span", "td") and 2 < len(text := tree.joined(x)) < 200 and styled_heading(tree, x):
+        if x.tag in ("p", "div", "span", "td") and (text := tree.short(x, 200)) is not None and len(text) > 2 and styled_heading(tree, x):
             add(x, heading_level(tree, x), text)
     for x in nodes:
-        if x.tag in ("p", "div", "span", "td", "tr") and 10 < len(text := tree.joined(x)) < 200 and QUESTION.match(text):
+        if x.tag in ("p", "div", "span", "td", "tr") and (text := tree.short(x, 200)) is not None and len(text) > 10 and QUESTION.match(text):
             if BOLD.search(x.attrs.get("style", "")) or text.startswith(("Q:", "Question:")):
                 add(x, 4, text)
     return sorted(found, key=lambda f: (f[0].start, place[id(f[0])]))
@@ -196,7 +213,7 @@ def sections_of(html: str | None, least: int = 100) -> list[tuple[int, str, str,
     """The heading sections of a document in the order of SECTIONS (SEG-14..17).
 
     A section is its heading and the siblings after it up to the next heading. If that is under `least` characters and the
-    heading lies in a table, what follows the table counts instead if it is more. Shorter ones are left out.
+    heading lies in a table, and the next one does not, what follows the table counts instead if it is more. Shorter ones are left out.
     """
     if not html:
         return []
@@ -209,7 +226,7 @@ def sections_of(html: str | None, least: int = 100) -> list[tuple[int, str, str,
         end = _after(tree, node, until)
         content = f"{head} {tree.spaced(node.end, end)}".strip()
         table = node.up("table")
-        if len(content) < least and table is not None:
+        if len(content) < least and table is not None and not (until is not None and table.start <= until.start and until.end <= table.end):
             after = _after(tree, table, until)
             beyond = f"{head} {tree.spaced(table.end, after)}".strip()
             if len(beyond) > len(content):

@@ -43,6 +43,12 @@ def test_sections_end_with_their_parent_or_the_next_heading():
     assert [(t, level, kind) for _, t, _, level, _, _, kind in H.sections_of(q)] == [("Q: Who may invest?", 4, "mixed")]
 
 
+def test_a_heading_in_a_table_does_not_take_what_follows_a_later_one():
+    row = lambda t: f"<tr><td><b>{t}</b></td><td>x</td></tr>"
+    html = "<div><table>" + row("First") + row("Last") + "</table><p>" + "words " * 40 + "</div>"
+    assert [t for _, t, *_ in H.sections_of(html)] == ["Last"]
+
+
 def test_offsets_are_those_of_the_text(spark):
     html = "<html><script>no</script><body><div><h1>A &amp; B</h1>" + "text " * 40 + "</div></body></html>"
     df = spark.createDataFrame([("f", html, 1), ("g", None, 2)], "filing_id string, html string, x int")
