@@ -22,8 +22,14 @@ def bound(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+def constant_map(table: dict[str, str | float]) -> Column:
+    """A fixed table as a map of texts or numbers, in one expression."""
+    quoted = lambda x: f"{x}D" if isinstance(x, float) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in table.items()) + ")")
+
+
 def _lookup(table: dict[str, float], c: Column) -> Column:
-    return F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, float(v))])[c]
+    return constant_map({k: float(v) for k, v in table.items()})[c]
 
 
 def word_number(c: Column) -> Column:
@@ -64,7 +70,7 @@ def numeric_text(c: Column) -> Column:
 def mapped(c: Column, synonyms: dict[str, str]) -> Column:
     """A canonical value: an exact synonym, else the first that the text contains, else the text (SC-20..23). Underscores count as blanks."""
     low = F.regexp_replace(F.lower(trimmed(c)), "_", " ")
-    exact = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])[low]
+    exact = constant_map(synonyms)[low]
     inside = F.coalesce(*[F.when(F.contains(low, F.lit(k)), v) for k, v in synonyms.items()])
     return F.coalesce(exact, inside, c)
 
@@ -99,7 +105,7 @@ def frequency_rates(rate: Column, frequency: Column) -> Column:
 def comparable(c: Column) -> Column:
     """What a text is compared by (SC-04, SC-06): struct(text, number). A synonym's canonical value has no number; nothing stated has neither."""
     low = F.lower(trimmed(stated(c)))
-    canonical = F.create_map(*[F.lit(x) for kv in VALUES.items() for x in kv])[low]
+    canonical = constant_map(VALUES)[low]
     return F.struct(F.coalesce(canonical, low).alias("text"), F.when(canonical.isNull(), numeric_text(c)).alias("number"))
 
 

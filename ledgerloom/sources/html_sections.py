@@ -28,6 +28,8 @@ QUESTION = re.compile(r"Q:\s*|Question:\s*|What\s+(?:is|are)\s+|How\s+(?:do|does
 COVER_LINE = re.compile(r"REGISTRATION\s+STATEMENT|SECURITIES\s+AND\s+EXCHANGE\s+COMMISSION|UNITED\s+STATES$|FORM\s*N-|TABLE\s+OF\s+CONTENTS$|PROSPECTUS$|STATEMENT\s+OF\s+ADDITIONAL\s+INFORMATION|PART\s+[A-C]", re.I)
 #: Font sizes from which on a heading is of level 1, 2 and 3.
 LEVEL_SIZES = (16, 14, 12)
+#: Characters of documents after whose sections a batch is handed on.
+BATCH_CHARS = 4_000_000
 SECTIONS = "ord int, title string, tag string, level int, char_start int, content string, content_type string"
 
 
@@ -243,8 +245,15 @@ def heading_sections(filings: DataFrame, key: str = "filing_id", html: str = "ht
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows: list[tuple] = []
+            size = 0
             for k, text in zip(b["key"], b["html"]):
-                yield pd.DataFrame([(k, *r) for r in sections_of(text, least)], columns=columns)
+                rows += [(k, *r) for r in sections_of(text, least)]
+                size += len(text or "")
+                if size > BATCH_CHARS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     return in_workers(filings.select(F.col(key).cast("string").alias("key"), F.col(html).alias("html"))).mapInPandas(run, f"`{key}` string, {SECTIONS}")
 
